@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
