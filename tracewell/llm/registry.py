@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, simhash
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op5_simhash": simhash.op5_simhash,
 }
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
