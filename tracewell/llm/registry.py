@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, simhash, substring, url_filter
+from . import bpe, exact_dedup, mixing, pii, quality, simhash, substring, url_filter
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op3_quality": quality.op3_quality,
     "op8_substring": substring.op8_substring,
     "op1_pii": pii.op1_pii,
     "op9_mixing": mixing.op9_mixing,
