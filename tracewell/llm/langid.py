@@ -19,7 +19,7 @@ from .common import table
 
 #: Documents of each language that the network learns from at most, and bytes of each of them.
 TRAIN_DOCS, TRAIN_BYTES = 300, 768
-STRETCH, HIDDEN = 96, 12
+STRETCH, HIDDEN = 96, 8
 UNKNOWN = "und"
 
 
