@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, pii, quality, simhash, substring, url_filter
+from . import bpe, exact_dedup, langid, mixing, pii, quality, simhash, substring, url_filter, vectors
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op2_vectors": vectors.op2_vectors,
     "op6_langid": langid.op6_langid,
     "op3_quality": quality.op3_quality,
     "op8_substring": substring.op8_substring,
