@@ -1,16 +1,16 @@
-"""Registry of the reference operators' queries over the driver tables."""
+"""Registry of the reference operators' queries over the driver tables, and their SQL oracles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..session import table
+from . import observability
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_MODULES = [observability]
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type, until the investigation query takes its place."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Error signatures of the last week against the week before."""
+    return observability.analyze_errors(spark, sf_dir)
