@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import logs, metrics, state
 from ..session import table
+from .common import Registry
 
 def _k():
     return F.get_json_object("props", "$.k").cast("int")
@@ -45,18 +46,7 @@ def _range() -> tuple:
     return stop - F.expr(WEEK), stop
 
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 _SIGS = """SELECT code AS key, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen,

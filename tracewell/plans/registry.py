@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import observability
+from . import codegraph, observability, searching
 
-_MODULES = [observability]
-QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
-ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
+_MODULES = [observability, codegraph, searching]
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.query.queries.items()}
+ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.query.oracles.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path stays a URI so any Hadoop file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that loops keep short plans and lost executors cost
+    no recomputation. The folder is the cluster's spark.checkpoint.dir; a temporary one only where
+    none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+    return df.checkpoint()
