@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codegraph, observability, searching
+from . import codegraph, investigation, observability, searching
 
-_MODULES = [observability, codegraph, searching]
+_MODULES = [observability, codegraph, searching, investigation]
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.query.queries.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.query.oracles.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error signatures of the last week against the week before."""
-    return observability.analyze_errors(spark, sf_dir)
+    """The ranked causes of an investigation over all evidence."""
+    return investigation.investigate(spark, sf_dir)
