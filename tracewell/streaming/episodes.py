@@ -25,11 +25,12 @@ def episodes(events: DataFrame, family: str, ts: str, event_id: str, quiet: int
     return rows.groupBy(family, "episode").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
 
-def stream_episodes(events: DataFrame, family: str, ts: str, quiet: int = QUIET_SECONDS, late: str = "2 minutes") -> DataFrame:
-    """The same episodes over a stream, each sent when the watermark has passed its quiet gap; a gap
-    of exactly `quiet` seconds still joins, as in the batch form (one microsecond more than the gap)."""
+def stream_episodes(events: DataFrame, family: str, ts: str, quiet: int = QUIET_SECONDS, late: str | None = "2 minutes") -> DataFrame:
+    """The same episodes over a stream, each sent when the watermark has passed its quiet gap (late:
+    None if the stream has a watermark, as after distinct_events). A gap of exactly `quiet` seconds still joins, as in the batch form (one microsecond more than the gap)."""
     window = F.session_window(F.col(ts), F.lit(f"{quiet} seconds 1 microsecond"))
-    rows = events.withWatermark(ts, late).groupBy(F.col(family), window.alias("w"))
+    marked = events.withWatermark(ts, late) if late else events
+    rows = marked.groupBy(F.col(family), window.alias("w"))
     return rows.agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n")).drop("w")
 
 
