@@ -143,7 +143,7 @@ def _bucket(id_col: str):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Network:
     """A network from the text and lang of documents outside the held-out fifth.
 
-    The sample: of each language up to train_docs texts with the smallest hash, of each the first
+    The sample: of each language up to train_docs distinct texts with the smallest hash, of each the first
     train_bytes bytes (training only; predictions read whole texts). Rows whose id, text or lang is
     null teach nothing. Without any row the network has no label and predicts "und".
     """
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for lang in labels:
         share = min(1.0, 2.0 * train_docs / sizes[lang])
         near = rows.filter((F.col("lang") == lang) & (F.abs(F.xxhash64("text").cast("double")) <= F.lit(share * 2.0**63)))
-        texts = near.select(F.xxhash64("text").alias("h"), F.substring("text", 1, train_bytes).alias("text")).orderBy("h", "text").limit(train_docs)
+        texts = near.select(F.xxhash64("text").alias("h"), F.substring("text", 1, train_bytes).alias("text")).distinct().orderBy("h", "text").limit(train_docs)
         sample += [(r[1].encode()[:train_bytes], labels.index(lang)) for r in texts.collect()]
     net = Network(labels)
     net.train([t for t, _ in sample], np.array([k for _, k in sample]))

@@ -131,7 +131,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
     """The scorer's weights, and the labellers' estimates.
 
     Vote patterns (at most 3 ** 10, counted over all documents) come to the driver, and at most
-    train_docs texts: those with the smallest hash of the text, so the choice does not depend on
+    train_docs distinct texts: those with the smallest hash, so the choice does not depend on
     order, ids or partitions. An empty table gives weights that keep everything.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
     # A share of the hash range that holds about twice the wanted number goes before the sort.
     share = min(1.0, 2.0 * train_docs / sum(patterns.values()))
     near = F.abs(F.xxhash64("text").cast("double")) <= F.lit(share * 2.0**63)
-    rows = texts.filter(near).orderBy(F.xxhash64("text"), "text").limit(train_docs).collect()
+    rows = texts.filter(near).distinct().orderBy(F.xxhash64("text"), "text").limit(train_docs).collect()
     x, p = [], []
     for (text,) in rows:
         s = statistics(text)
