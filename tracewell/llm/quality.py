@@ -107,17 +107,17 @@ def features(text: str, s: dict[str, float], size: int = DIMENSIONS) -> np.ndarr
     return out
 
 
-def fit_scorer(x: np.ndarray, p: np.ndarray, epochs: int = 60, rate: float = 0.5, reg: float = 1e-4) -> np.ndarray:
+def fit_scorer(x: np.ndarray, p: np.ndarray, updates: int = 900, rate: float = 0.1, reg: float = 1e-4) -> np.ndarray:
     """Weights and bias of a logistic scorer on soft labels, by Adagrad over mini-batches."""
     x = np.hstack([x, np.ones((x.shape[0], 1), np.float32)])
     w, g2 = np.zeros(x.shape[1], np.float32), np.full(x.shape[1], 1e-6, np.float32)
-    order = np.random.default_rng(1).permutation(x.shape[0])
-    for _ in range(epochs):
-        for part in np.array_split(order, max(1, x.shape[0] // 256)):
-            z = x[part] @ w
-            g = x[part].T @ (1 / (1 + np.exp(-z)) - p[part]) / part.size + reg * w
-            g2 += g * g
-            w -= rate * g / np.sqrt(g2) * 0.2
+    r = np.random.default_rng(1)
+    for _ in range(updates):
+        part = r.integers(0, x.shape[0], 256)
+        z = x[part] @ w
+        g = x[part].T @ (1 / (1 + np.exp(-z)) - p[part]) / part.size + reg * w
+        g2 += g * g
+        w -= rate * g / np.sqrt(g2)
     return w
 
 
