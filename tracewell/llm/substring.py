@@ -112,7 +112,7 @@ def _send(k: int, m: int, buckets: int):
     """Rows (doc, tag, text) -> packed super-k-mers by bucket."""
 
     def pack(bucket: int, text: bytes | None, **parts: np.ndarray) -> dict:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=6)
         sized = {c: press.compress(parts[c].astype(kind).tobytes()) for c, kind in PARTS.items()}
         return sized | {"bucket": bucket, "text": None if text is None else press.compress(text)}
 
@@ -238,11 +238,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3, id_col: str = "doc_
     other, and rows of one id never count as smaller than each other, so they strike nothing among
     themselves; other columns are ignored.
     """
-    tag = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.lit(int(NO_ID))).alias("doc"), tag.alias("tag"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(max(64, -(-size // bucket_bytes)), 1 << 30)
+    rows = rows.select("id", F.coalesce("id", F.lit(int(NO_ID))).alias("doc"), "text")
+    ids = rows.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    size, most = ids.agg(F.sum("size"), F.max("n")).first()
+    buckets = min(max(64, -(-(size or 0) // bucket_bytes)), 1 << 30)
+    # Only where ids repeat does a text need a mark of its own.
+    tag = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) if (most or 0) > 1 else F.lit(0)
+    rows = rows.withColumn("tag", tag.cast("int"))
     sent = rows.select("doc", "tag", "text").mapInArrow(_send(k, m, buckets), "bucket int, doc binary, tag binary, at binary, n binary, text binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     runs = dealt.mapInArrow(_settle(k), "doc long, tag int, run long").groupBy("doc", "tag").agg(F.collect_set("run").alias("runs"))
