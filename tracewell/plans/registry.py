@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codegraph, ingest, investigation, observability, rulebook, searching
+from . import codegraph, ingest, investigation, observability, recall, rulebook, searching
 
-_MODULES = [observability, codegraph, searching, investigation, ingest, rulebook]
+_MODULES = [observability, codegraph, searching, investigation, ingest, rulebook, recall]
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.query.queries.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.query.oracles.items()}
 
