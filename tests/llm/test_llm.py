@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracewell.llm import boosting, bpe, exact_dedup, langid, mixing, pii, quality, simhash, substring, url_filter, vectors
+from tracewell.llm import boosting, bpe, exact_dedup, langid, mixing, pii, quality, simhash, similar, substring, url_filter, vectors
 from tracewell.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_sha256 string, copy int, component_id long, ids string"
@@ -120,6 +120,48 @@ def test_hamming_components_with_hot_buckets(spark, most):
     assert [got[i] for i in range(len(fps))] == smallest(len(fps), links, list(range(len(fps))))
 
 
+def shingle_set(text, k=5):
+    tokens = re.split(BLANK, re.sub("[A-Z]+", lambda m: m[0].lower(), (text or "").strip(" \t\n\x0b\f\r")))
+    return {" ".join(tokens[i : i + k]) for i in range(max(1, len(tokens) - k + 1))}
+
+
+def planted():
+    """Texts and copies with a few words replaced, so that the pairs' similarities run from 0.7 to 0.98."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for i in range(120):
+        t = [word() for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(t))
+        for _ in range(1 + i % 2):
+            t = list(t)
+            for at in r.sample(range(len(t)), max(1, len(t) * r.randint(2, 32) // 1000)):
+                t[at] = word()
+            texts.append(" ".join(t))
+    return texts
+
+
+def test_similar_documents(spark):
+    import corpus_pipeline
+
+    texts = [*planted(), *TEXTS]
+    sets = [shingle_set(t) for t in texts]
+    near = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(texts)) for b in range(a)]
+    links = [(a, b) for a, b, j in near if j >= 0.8]
+    assert sum(0.8 <= j < 0.85 for *_, j in near) >= 10 and sum(0.85 <= j < 0.95 for *_, j in near) >= 20 and sum(0.7 < j < 0.8 for *_, j in near) >= 10
+    want = smallest(len(texts), links, list(range(len(texts))))
+    table = docs(spark, enumerate(texts))
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(table).collect()} == dict(enumerate(want))
+    stays = {r.doc_id for r in corpus_pipeline.near(spark, table, "").collect()}
+    assert stays == {i for i, low in enumerate(want) if i == low}
+    assert similar.similar_documents(table.limit(0)).count() == 0
+
+
+def test_linked_groups_merge():
+    a, b = np.arange(10, dtype=np.uint64), np.arange(2, 12, dtype=np.uint64)
+    assert similar.linked([a, b, np.arange(50, 60, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64)], 0.8) == [0, 0, 2, 0]
+
+
 def test_bit_sliced_blocks():
     """Blocks of over 64 lanes, all within the radius and none."""
     r = np.random.default_rng(1)
