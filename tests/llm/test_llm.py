@@ -300,6 +300,15 @@ def test_quality(spark):
     assert quality.classify(table.limit(0)).count() == 0
 
 
+def test_quality_learns_from_distinct_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, p: seen.append(len(x)) or np.zeros(quality.DIMENSIONS + 1, np.float32))
+    table = spark.range(40_000).select((F.col("id") % 100).alias("k")).select(F.concat(F.lit("text number "), F.col("k")).alias("text"))
+    for n in (1, 60, 100, 500):
+        quality.fit(table, train_docs=n)
+    assert seen == [1, 60, 100, 100]
+
+
 def test_gradients_of_the_network():
     net = langid.Network(["a", "b", "c"], 4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}

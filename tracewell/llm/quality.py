@@ -143,18 +143,16 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
         return np.r_[np.zeros(DIMENSIONS, np.float32), np.float32(1)], info
     probable = posterior(np.array(list(patterns)), good, chance)
     label = dict(zip(patterns, probable.tolist(), strict=True))
-    # A share of the hash range that holds about twice the wanted number goes before the sort.
-    share = min(1.0, 2.0 * train_docs / sum(patterns.values()))
-    near = F.abs(F.xxhash64("text").cast("double")) <= F.lit(share * 2.0**63)
-    rows = texts.filter(near).distinct().orderBy(F.xxhash64("text"), "text").limit(train_docs).collect()
+    # The train_docs smallest hashes of distinct texts, however often a text is repeated; only then the texts.
+    h = F.xxhash64("text")
+    least = texts.select(h.alias("h")).distinct().orderBy("h").limit(train_docs).collect()
+    rows = texts.filter(h <= least[-1][0]).distinct().orderBy(h, "text").limit(train_docs).collect()
     x, p = [], []
     for (text,) in rows:
         s = statistics(text)
         x.append(features(text, s))
         p.append(label[votes(s)])
     x, p = np.array(x, np.float32), np.array(p)
-    if not len(rows):
-        return np.r_[np.zeros(DIMENSIONS, np.float32), np.float32(1)], info
     return fit_scorer(x, p), info
 
 
