@@ -157,6 +157,20 @@ def test_similar_documents(spark):
     assert similar.similar_documents(table.limit(0)).count() == 0
 
 
+def test_stages_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, "a b"), (5, "a b"), (7, "a  b"), (5, "c"), (None, "d"), (None, "d"), (None, "c"), (2, long), (2, "e"), (None, long + " x"), (1, long + " y")]
+    table = docs(spark, rows)
+    exact = corpus_pipeline.exact(spark, table, "")
+    assert exact.columns == table.columns
+    order = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    left = [(5, "a b"), (5, "c"), (None, "d"), (2, "e")]
+    assert order(exact.collect()) == sorted([*left, (2, long), (None, long + " x"), (1, long + " y")], key=str)
+    assert order(corpus_pipeline.near(spark, table, "").collect()) == sorted([*left, (1, long + " y")], key=str)
+
+
 def test_linked_groups_merge():
     a, b = np.arange(10, dtype=np.uint64), np.arange(2, 12, dtype=np.uint64)
     assert similar.linked([a, b, np.arange(50, 60, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64)], 0.8) == [0, 0, 2, 0]
