@@ -352,6 +352,23 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.predict(table, none).collect()} == {"und"}
 
 
+def test_langid_and_vectors_learn_from_distinct_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Network, "train", lambda self, texts, y: seen.append((self.labels, Counter(y.tolist()), texts)))
+    k = F.concat(F.lit("text "), (F.col("id") % 50).cast("string"))
+    table = spark.range(20_000).select(F.col("id").alias("doc_id"), k.alias("text"), F.lit("copied").alias("lang"))
+    rare = spark.createDataFrame([(i, "head " * 400 + f"tail {i} " * 400, "rare") for i in range(40)], "doc_id long, text string, lang string")
+    langid.fit(table.union(rare), train_docs=20)
+    (labels, count, texts), = seen
+    assert labels == ["copied", "rare"] and count == {0: 20, 1: 20}
+    assert len(set(texts)) == 40 and all(len(t) <= langid.TRAIN_BYTES for t in texts) and sum(b"tail" in t for t in texts) >= 15
+
+    v = F.array(*[(F.col("id") % 3 + i).cast("double") for i in range(8)])
+    same = spark.range(30_000).select(F.col("id").alias("vec_id"), v.alias("embedding"), F.lit(1).alias("label"))
+    out = vectors.near_vectors(same, sample=2, lists=1).groupBy("n_links").count().collect()
+    assert sum(r["count"] for r in out) == 30_000
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_vectors(spark, block):
     r = np.random.default_rng(8)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -140,24 +140,44 @@ def _bucket(id_col: str):
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
+def _drawn(most: int, parts: int = 4):
+    """Of each text with more bytes than `most`, parts of that length in all, from places all over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for seed, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = text.encode()
+                if len(t) > most:
+                    size = max(1, most // parts)
+                    at = np.random.default_rng(seed & 0x7FFFFFFFFFFFFFFF).integers(0, len(t) - size + 1, most // size)
+                    t = b"".join(t[i : i + size] for i in at.tolist())
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["h", "part"])
+
+    return run
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Network:
     """A network from the text and lang of documents outside the held-out fifth.
 
-    The sample: of each language up to train_docs distinct texts with the smallest hash, of each the first
-    train_bytes bytes (training only; predictions read whole texts). Rows whose id, text or lang is
+    The sample: of each language up to train_docs distinct texts with the smallest hash, of each
+    train_bytes bytes from places all over it (training only; predictions read whole texts). Rows whose id, text or lang is
     null teach nothing. Without any row the network has no label and predicts "und".
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter((_bucket("id") != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    h = F.xxhash64("text").alias("h")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", h).distinct().withColumn("n", place).filter(F.col("n") <= train_docs)
+    ends = {r[0]: r[1] for r in least.groupBy("lang").agg(F.max("h")).collect()}
+    if not ends:
         return Network([])
-    labels, sample = sorted(sizes), []
+    labels, sample = sorted(ends), []
     for lang in labels:
-        share = min(1.0, 2.0 * train_docs / sizes[lang])
-        near = rows.filter((F.col("lang") == lang) & (F.abs(F.xxhash64("text").cast("double")) <= F.lit(share * 2.0**63)))
-        texts = near.select(F.xxhash64("text").alias("h"), F.substring("text", 1, train_bytes).alias("text")).distinct().orderBy("h", "text").limit(train_docs)
-        sample += [(r[1].encode()[:train_bytes], labels.index(lang)) for r in texts.collect()]
+        near = rows.filter((F.col("lang") == lang) & (F.xxhash64("text") <= ends[lang]))
+        texts = near.select(h, "text").distinct().mapInArrow(_drawn(train_bytes), "h long, part binary").orderBy("h", "part").limit(train_docs)
+        sample += [(bytes(r[1]), labels.index(lang)) for r in texts.collect()]
     net = Network(labels)
     net.train([t for t, _ in sample], np.array([k for _, k in sample]))
     return net

@@ -216,8 +216,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, lists: int | None = N
     dim, total = sizes
     fit = F.col("label").isNotNull() & (F.size("v") == dim)
     classes = materialise(rows.filter(fit).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
-    share = min(1.0, 2.0 * sample / total)
-    drawn = classes.filter(F.abs(F.xxhash64("v").cast("double")) <= F.lit(share * 2.0**63)).select("v", F.xxhash64("v").alias("h"), "label")
+    h = F.xxhash64("v").alias("h")
+    end = classes.select(h).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    drawn = classes.filter(F.xxhash64("v") <= end).select("v", h, "label")
     fitted = drawn.orderBy("h", "label").limit(sample).select("v").toArrow()["v"].combine_chunks()
     fitted = fitted.combine_chunks() if isinstance(fitted, pa.ChunkedArray) else fitted
     index = Index(_matrix(fitted), lists or int(np.clip(np.sqrt(total) / 16, 8, 512)))
