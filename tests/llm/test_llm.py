@@ -352,6 +352,14 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.predict(table, none).collect()} == {"und"}
 
 
+def test_every_language_is_drawn(monkeypatch):
+    net = langid.Network([f"l{i:03}" for i in range(176)])
+    drawn = Counter()
+    monkeypatch.setattr(net, "gradients", lambda x, y: drawn.update(y.tolist()) or (0.0, {}))
+    net.train([b"some text"] * 176, np.arange(176))
+    assert len(drawn) == 176 and min(drawn.values()) >= 500
+
+
 def test_langid_and_vectors_learn_from_distinct_rows(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(langid.Network, "train", lambda self, texts, y: seen.append((self.labels, Counter(y.tolist()), texts)))

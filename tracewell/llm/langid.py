@@ -96,13 +96,16 @@ class Network:
         return loss, g
 
     def train(self, texts: list[bytes], y: np.ndarray, steps: int = 140, batch: int = 96, length: int = 48, rate: float = 0.03, seed: int = 5) -> float:
-        """Adam over stretches of the texts, languages in equal parts; returns the last losses' mean."""
+        """Adam over stretches of the texts, languages in turn from step to step; returns the last losses' mean.
+
+        Beyond 24 languages the steps grow with their number, so a language gets as many stretches."""
         r, m, v = np.random.default_rng(seed), {}, {}
         by = [np.flatnonzero(y == k) for k in range(len(self.labels))]
         by = [b for b in by if b.size]
+        steps = max(steps, -(-steps * len(by) // 24))
         last: list[float] = []
         for step in range(1, steps + 1):
-            rows = np.array([r.choice(by[i % len(by)]) for i in range(batch)])
+            rows = np.array([r.choice(by[((step - 1) * batch + i) % len(by)]) for i in range(batch)])
             x = np.full((length, batch), 32, np.uint8)
             for j, i in enumerate(rows):
                 t = texts[i]
