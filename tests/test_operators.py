@@ -142,3 +142,22 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = frame(spark, [(r["user"], r["id"], dt.datetime.fromisoformat(r["ts"])) for r in rows], "user string, id string, ts timestamp")
     want = sorted((r.user, r.started, r.ended, r.n) for r in episodes.episodes(batch, "user", "ts", "id").collect())
     assert got == want
+
+
+def test_dead_code_callers_and_exported_classes(spark):
+    from tracewell.operators import flows
+
+    rows = [
+        ("helper", "function", "helper", "src/a.py", None, False),
+        ("used", "function", "used", "src/a.py", None, False),
+        ("far", "function", "far", "src/a.py", None, False),
+        ("caller", "function", "main", "src/b.py", None, False),
+        ("check", "function", "test_helper", "tests/test_a.py", None, False),
+        ("shown", "class", "Shown", "src/a.py", None, True),
+        ("open", "method", "open", "src/a.py", "Shown", False),
+        ("shut", "method", "_shut", "src/a.py", "Shown", False),
+        ("other", "method", "open", "src/c.py", "Shown", False),
+    ]
+    nodes = spark.createDataFrame(rows, "id string, label string, name string, path string, class_name string, exported boolean")
+    edges = spark.createDataFrame([("check", "helper", "calls"), ("caller", "used", "calls"), ("unknown", "far", "calls")], "source string, target string, rel string")
+    assert {r.id for r in flows.dead_code(nodes, edges).collect()} == {"helper", "shut", "other"}

@@ -65,10 +65,16 @@ def flow_rank(steps: DataFrame, changed: DataFrame) -> DataFrame:
 
 def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Functions, methods and classes of product code (id, label, name, path, class_name, exported)
-    that nothing calls, uses or extends. Exempt: special names, main, tests, exported ones, and a
-    method whose parent class has a live method of the same name."""
+    that nothing but tests and other code beside the product calls, and nothing uses or extends; a
+    call from an unknown node counts. Exempt: special names, main, tests, exported ones, public
+    methods of exported classes, and a method whose parent class has a live method of the same name."""
     rows = nodes.filter(F.col("label").isin("function", "method", "class") & (path_class(F.col("path")) == "product"))
     rows = rows.filter(~F.col("name").rlike(r"^__.*__$|^main$|^test|^(?:setUp|tearDown)") & ~F.coalesce("exported", F.lit(False)))
+    shown = nodes.filter("label = 'class' AND exported").select("path", F.col("name").alias("class_name")).distinct()
+    public = rows.filter("label = 'method'").filter(~F.col("name").rlike("^[_#]")).join(shown, ["path", "class_name"], "left_semi").select("id")
+    rows = rows.join(public, "id", "left_anti")
+    beside = nodes.filter(path_class(F.col("path")) != "product").select(F.col("id").alias("source"))
+    edges = edges.filter("rel <> 'calls'").unionByName(edges.filter("rel = 'calls'").join(beside, "source", "left_anti"), allowMissingColumns=True)
     hit = edges.filter(F.col("rel").isin("calls", "uses_type", "extends", "implements") & (F.col("source") != F.col("target")))
     dead = rows.join(hit.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
     names = nodes.filter("label = 'class'").select(F.col("id").alias("cid"), F.col("name").alias("cname"))
