@@ -394,3 +394,33 @@ def test_vectors(spark, block):
     assert len(got) == len(rows) + len(odd)
     assert {i: (n[i], low[i], low[i] == i) for i in range(len(x))} == {i: found[i] for i in range(len(x))}
     assert all(found[i] == (0, i, True) for i in range(900, 907))
+
+
+def brute_vectors(rows):
+    """(id, n_links, component_id) of each row (id, vector, label), from all pairs in double precision."""
+    def unit(v):
+        ok = v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        return np.array(v, float) / np.linalg.norm(np.array(v, float)) if ok else None
+
+    units = [unit(v) for _, v, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if units[a] is not None and units[b] is not None and None not in (rows[a][0], rows[b][0], rows[a][2])
+             and rows[a][2] == rows[b][2] and units[a].size == units[b].size and units[a] @ units[b] >= 0.98]
+    n = Counter(i for pair in links for i in pair)
+    low = smallest(len(rows), links, [1 << 59 if r[0] is None else r[0] for r in rows])
+    return Counter((r[0], n[i], None if r[0] is None else low[i], r[0] == low[i] and r[0] is not None) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("kind, labels", [("string", ["a", "b"]), ("double", [1.2, 1.7, 0.0, -0.0]), ("boolean", [True, False]), ("array<int>", [[1], [1, 2]])])
+def test_vectors_of_mixed_lengths_ids_and_labels(spark, kind, labels):
+    """Repeated ids with other vectors, lengths in the minority, labels of any type, clashing columns."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        v = r.standard_normal([3, 3, 2, 5][i % 4]).tolist() if i % 3 else [0.5 + i % 2, 1.0, 2.0 + i % 5]
+        rows.append((i % 70, v, labels[i % len(labels)] if i % 11 else None))
+    rows += [(200, [1.0, 2.0], labels[0]), (201, [2.0, 4.0], labels[0]), (201, [4.0, 2.0], labels[0]), (200, [1.0, 2.0], labels[0]), (None, [1.0, 2.0], labels[0]), (202, None, labels[0])]
+    table = spark.createDataFrame([(*x, 1, 2, "s", 3) for x in rows], f"vec_id long, embedding array<double>, label {kind}, n_links int, cls int, space string, v int")
+    want = brute_vectors(rows)
+    for df in (table, table.withColumn("embedding", F.col("embedding").cast("array<float>"))):
+        assert Counter(map(tuple, vectors.near_vectors(df, lists=3, block=16).collect())) == want
+    assert vectors.near_vectors(table.limit(0)).count() == 0
