@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset the
-    context's checkpoint folder, or where that is unset too (tests) a temporary one."""
+    context's checkpoint folder. Where that is unset too, a session in one process (tests) gets a
+    temporary folder, and a cluster an error: its machines do not share one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
             set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = set_dir.get()
@@ -38,22 +42,37 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the driver process ends.
+    The files go at release(), or when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def release(df: DataFrame) -> None:
+    """Remove the files of a materialised df that nothing reads any more."""
+    _remove(df.sparkSession, df._written)
+
+
+def _low(e: DataFrame, own: bool = False) -> DataFrame:
+    """(u, m): the smallest neighbour of each node (or itself). The key is an expression, so a join deals
+    both sides anew instead of keeping the aggregate's order, and AQE may split a hot node's links."""
+    m = F.least("u", F.min("v")) if own else F.min("v")
+    return e.groupBy("u").agg(m.alias("m")).select((F.col("u") + F.lit(0)).alias("u"), "m")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (id, component): the smallest id reachable, for each id that has a link.
 
     Alternating large-star and small-star rounds: every node hands its larger (then its smaller)
     neighbours to its smallest neighbour until nothing moves; rounds grow with the logarithm of the
     number of nodes. Minima are pre-aggregated, joins are ordinary shuffled joins whose hot keys AQE
-    may split, and each round is written to the shared folder. Self-links and repeated links are
+    may split, and each round is written to the shared folder in place of the one before it.
+    Self-links and repeated links are
     allowed, null ends are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -61,20 +80,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if e.isEmpty():
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = _low(both, own=True)
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        kept = e
         e = large.filter("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = _low(e)
         small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        release(kept)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     low = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return low.select(F.col("u").alias("id"), "component").union(roots)
