@@ -51,20 +51,24 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: f
     """docs' columns and copy (1, 2, ...), each row as often as its Poisson count says, in hash order.
 
     A null source is a source of its own, a null id hashes as an empty one; repeated rows of an id
-    get the same count. A column named copy is replaced. The rates table has a row per source; it is
+    get the same count. A column named copy is replaced, other columns stay, whatever their names. An
+    empty table gives an empty result; texts, null, empty or long, are carried as they are. The rates table has a row per source; it is
     broadcast only if Spark finds its written size under the broadcast threshold.
     """
-    by_source = materialise(rates(docs, weights, total, power, source_col)).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
+    # Helper columns under names that docs has not, whatever it has.
+    mark = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    its_source, cdf, n, place = (f"{mark}{x}" for x in ("source", "cdf", "n", "order"))
+    by_source = materialise(rates(docs, weights, total, power, source_col)).select(F.col("source").alias(its_source), F.col("cdf").alias(cdf))
     columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy"]
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = docs.select(*columns).join(by_source, F.col(source_col).eqNullSafe(F.col("_source")))
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    counted = docs.select(*columns).join(by_source, F.col(f"`{source_col}`").eqNullSafe(F.col(its_source)))
     u = _uniform(F.lit(str(seed)), ident)
     # The counts' steps that lie at or below u; the last step is 1 up to rounding.
-    n = F.size(F.filter("_cdf", lambda c: c <= u))
-    copies = counted.select(*columns, n.alias("_n")).filter("_n > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    times = F.size(F.filter(cdf, lambda c: c <= u))
+    copies = counted.select(*columns, times.alias(n)).filter(F.col(n) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy"))
     order = F.md5(F.concat_ws("|", F.lit(str(seed + 1)), ident, F.col("copy").cast("string")))
-    dealt = copies.select(*columns, "copy", order.alias("_order")).repartition("_order").sortWithinPartitions("_order")
-    return dealt.drop("_order")
+    dealt = copies.select(*columns, "copy", order.alias(place)).repartition(place).sortWithinPartitions(place)
+    return dealt.drop(place)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
