@@ -12,17 +12,33 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
+
 def _residues(modulus: int, residue: int) -> str:
     """A character class of the Latin-1 code points with the given residue (a bit table in the matcher)."""
     return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x100) if c % modulus == residue) + "]"
 
 
-def chunk_pattern(least: int = 256, most: int = 4096) -> str:
+#: Sentence marks of scripts that set no blanks between words.
+MARKS = "\\u3002\\uff01\\uff1f\\u0964\\u06d4\\u104b\\u1362\\u17d4"
+
+
+def _rows(modulus: int, residue: int) -> str:
+    """Like _residues() for the scripts from U+0100 to U+1FFF, by rows of four characters."""
+    return "".join(f"\\x{{{c:x}}}-\\x{{{c + 3:x}}}" for c in range(0x100, 0x2000, 4) if c // 4 % modulus == residue)
+
+
+def chunk_pattern(least: int = 256, most: int = 4096, latin: bool = True) -> str:
     """A chunk ends at a blank whose neighbours fall into fixed residue classes (about one blank in
-    32), after `least` characters at the earliest; a text without such a place,
-    as in scripts beyond Latin-1, is cut every `most`."""
-    edge = f"(?<={_residues(4, 1)}\\x20)(?={_residues(8, 3)})"
-    return f"(?s).{{{least},{most - 1}}}?{edge}|.{{1,{most}}}"
+    32), after `least` characters at the earliest; in texts beyond Latin-1, whose classes are larger
+    and slower to match, also after a mark that ends sentences. A text without such a place is cut every `most`."""
+    edge = f"(?<=\\x20)(?<={_residues(4, 1)}.)(?={_residues(8, 3)})"
+    if not latin:
+        edge = f"(?<=\\x20)(?<=[{_residues(4, 1)}{_rows(4, 1)}].)(?=[{_residues(8, 3)}{_rows(8, 3)}])|(?<=[{MARKS}])"
+    return f"(?s).{{{least},{most - 1}}}?(?:{edge})|.{{1,{most}}}"
+
+
+def _cut(latin: bool) -> Column:
+    return F.regexp_extract_all("t", F.lit(chunk_pattern(latin=latin)), F.lit(0))
 
 
 def normalised(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
@@ -46,7 +62,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     h = lambda c: F.shiftright(F.xxhash64(c), 64 - hash_bits) if hash_bits < 64 else F.xxhash64(c)
     cut = normalised(docs, F.col(text_col), F.col(id_col).cast("long").alias("id")).select(
-        "id", "t", F.regexp_extract_all("t", F.lit(chunk_pattern()), F.lit(0)).alias("chunks")
+        "id", "t", F.when(F.col("t").rlike(r"[^\x00-\xff]"), _cut(latin=False)).otherwise(_cut(latin=True)).alias("chunks")
     )
     recipes = materialise(
         cut.select("id", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"), F.transform("chunks", h).alias("recipe"))
@@ -58,8 +74,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     if not clash.isEmpty():
         recipes = _verified(cut, clash, h)
-    groups = recipes.groupBy("recipe").agg(
-        F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.size("recipe")).alias("n_chunks")
+    # Written, so that the join deals both sides anew and AQE may split the rows of a hot recipe.
+    groups = materialise(
+        recipes.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.size("recipe")).alias("n_chunks"))
     )
     return recipes.join(groups, "recipe").select(
         F.col("id").alias(id_col),
