@@ -213,7 +213,8 @@ def hamming_components(fps: DataFrame, radius: int = 4, blocks: int = 6, most: i
 
     Equal fingerprints become one node first, so copies never meet as pairs. A bucket of over `most`
     fingerprints is dealt anew: of its other bits, cut into radius + 1 runs, one run must be equal,
-    which makes smaller buckets and loses no link. A null id never names a component; a null
+    which makes smaller buckets and loses no link; what is still larger is cut into blocks of which
+    each two meet, so no bucket is held whole. A null id never names a component; a null
     fingerprint links with nothing and has its own id as component.
     """
     nodes = materialise(fps.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep")))
@@ -226,10 +227,17 @@ def hamming_components(fps: DataFrame, radius: int = 4, blocks: int = 6, most: i
     finer = F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in _masks(r, radius + 1, 1)]) for r in rest])
     none = F.array(F.lit(0).cast("long"))
     dealt = rows.join(hot, ["t", "bits"], "left").select(
-        "t", "bits", "fp", "rep", F.posexplode(F.when(F.col("hot"), finer[F.col("t")]).otherwise(none)).alias("s", "m")
+        "t", "bits", "hot", "fp", "rep", F.posexplode(F.when(F.col("hot"), finer[F.col("t")]).otherwise(none)).alias("s", "m")
     )
     key = F.xxhash64("t", "bits", "s", F.col("fp").bitwiseAND(F.col("m"))).alias("key")
-    buckets = dealt.select(key, "fp", "rep").repartition("key").sortWithinPartitions("key", "fp")
+    dealt = dealt.select(key, "hot", "fp", "rep")
+    # Near copies agree on most bits, so a bucket of them stays large: there, blocks meet two by two.
+    large = dealt.filter("hot").groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("n")).filter("n > 1").select((F.col("key") + F.lit(0)).alias("key"), "n")
+    spread = dealt.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    spread = spread.select("key", "n", "fp", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    meeting = F.when(F.col("n") > 1, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("key")).alias("key")
+    buckets = spread.select(meeting, "fp", "rep").repartition("key").sortWithinPartitions("key", "fp")
     edges = buckets.mapInArrow(_bucket_edges(radius), "a long, b long")
     parts = connected_components(edges)
     named = nodes.join(parts, nodes["rep"] == parts["id"], "left").select(
