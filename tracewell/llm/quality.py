@@ -24,45 +24,50 @@ GOOD, BAD, NONE = 1, 0, -1
 
 
 def statistics(text: str) -> dict[str, float]:
-    """Ratios that labellers and features look at; an empty text has zeros."""
+    """Ratios that labellers and features look at. Each counts some text of ordinary kind along (ten
+    words, twenty letters, four lines), so that a few words say little and many say what they are."""
     words = text.split()
     n, chars = max(1, len(words)), max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
     raw = np.frombuffer(text.encode(), np.uint8)
     count = np.bincount(raw, minlength=256)
-    letters = max(1, int(count[65:91].sum() + count[97:123].sum() + count[0x80:].sum()))
+    letters = int(count[65:91].sum() + count[97:123].sum() + count[0x80:].sum())
     marks = int(count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum())
     plain = int(sum(count[ord(c)] for c in ".,;:!?'\"-()"))
-    seen = len(set(words))
     return {
         "words": len(words),
-        "upper": float(count[65:91].sum()) / letters,
+        "upper": float(count[65:91].sum()) / (letters + 20),
         "symbols": (marks - plain) / chars,
-        "shouts": float(count[ord("!")]) / n,
-        "bars": float(count[ord("|")]) / n,
+        "shouts": float(count[ord("!")] + count[ord("?")]) / (n + 10),
         "digits": float(count[48:58].sum()) / chars,
-        "distinct": seen / n**0.9 if words else 0.0,
-        "top": max(Counter(words).values()) / n if words else 1.0,
-        "line_repeats": 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0,
-        "length": chars / n,
+        "distinct": (len(set(words)) + 5) / (len(words) + 10) ** 0.9,
+        "top": (max(Counter(words).values(), default=0) + 1.5) / (len(words) + 10),
+        "line_repeats": (len(lines) - len(set(lines))) / (len(lines) + 4),
+        "length": (len(text) + 60) / (len(words) + 10),
+        "plain_words": (sum(w.isalpha() or w[:-1].isalpha() for w in words) + 9.5) / (len(words) + 10),
+        "squeezed": (len(zlib.compress(raw, 1)) + 100) / (raw.size + 200),
     }
 
 
-def votes(s: dict[str, float]) -> tuple[int, ...]:
-    """Each labeller's vote: one for each kind of defect, and three that look at texts more widely."""
+#: What each labeller looks at, where it votes, and what. Every kind of junk is in the reach of several of
+#: them, each by a measure of its own; a labeller that sees nothing of its kind abstains.
+LABELLERS = {
+    "symbols": (lambda x: x > 0.02, BAD),
+    "plain_words": (lambda x: x < 0.75, BAD),
+    "upper": (lambda x: x > 0.2, BAD),
+    "shouts": (lambda x: x > 0.1, BAD),
+    "top": (lambda x: x > 0.2, BAD),
+    "distinct": (lambda x: x < 0.45, BAD),
+    "line_repeats": (lambda x: x > 0.3, BAD),
+    "squeezed": (lambda x: x < 0.25, BAD),
+    "words": (lambda x: x == 0, BAD),
+    "length": (lambda x: 3.5 < x < 8.5, GOOD),
+}
 
-    def two(bad: bool, good: bool = False) -> int:
-        return BAD if bad else GOOD if good else NONE
 
-    symbols, upper, shouts, bars = s["symbols"] > 0.02, s["upper"] > 0.2 and s["words"] >= 5, s["shouts"] > 0.1, s["bars"] > 0.05
-    long = s["words"] >= 20
-    top, same, lines = long and s["top"] > 0.2, long and s["distinct"] < 0.45, s["line_repeats"] > 0.3
-    return (
-        *(two(x) for x in (symbols, upper, shouts, bars, top, same, lines)),
-        two(s["words"] == 0, long and 3.5 < s["length"] < 8.5),
-        two(symbols or upper or shouts or bars, s["symbols"] < 0.005 and s["upper"] < 0.08 and s["shouts"] < 0.02 and s["bars"] == 0),
-        two(top or same or lines, long and s["top"] < 0.12 and s["distinct"] > 0.7 and s["line_repeats"] < 0.1),
-    )
+def votes(s: dict[str, float]) -> tuple[int, ...]:
+    """Each labeller's vote."""
+    return tuple(vote if test(s[k]) else NONE for k, (test, vote) in LABELLERS.items())
 
 
 def fit_labellers(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, np.ndarray]:
@@ -100,8 +105,6 @@ def features(text: str, s: dict[str, float], size: int = DIMENSIONS) -> np.ndarr
         out += np.bincount(pair % size, minlength=size)
         out /= np.linalg.norm(out)
     for name, x in s.items():
-        if s["words"] < 20 and name in ("upper", "distinct", "top", "length"):
-            continue  # a few words say nothing about these
         step = int(np.searchsorted([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 5, 20, 100], x))
         out[zlib.crc32(f"{name}={step}".encode()) % size] += 1
     return out
@@ -121,20 +124,37 @@ def fit_scorer(x: np.ndarray, p: np.ndarray, updates: int = 900, rate: float = 0
     return w
 
 
+def _votes_text(s: dict[str, float]) -> str:
+    return "".join("01-"[v] for v in votes(s))
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = ["".join("01-"[v] for v in votes(statistics(t or ""))) for t in b.column(0).to_pylist()]
+        found = [_votes_text(statistics(t.as_py() or "")) for t in b.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["votes"])
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, text) -> h, votes, and the places and values of the features that are not zero."""
+    for b in batches:
+        out = []
+        for t in b.column(1):
+            s = statistics(t.as_py())
+            f = features(t.as_py(), s)
+            at = np.flatnonzero(f).astype(np.int32)
+            out.append((_votes_text(s), at.tobytes(), f[at].tobytes()))
+        columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["h", "votes", "at", "value"])
+
+
 def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, dict]:
     """The scorer's weights, and the labellers' estimates.
 
-    Vote patterns (at most 3 ** 10, counted over all documents) come to the driver, and at most
-    train_docs distinct texts: those with the smallest hash, so the choice does not depend on
-    order, ids or partitions. An empty table gives weights that keep everything.
+    Vote patterns (at most 2 ** 10, counted over all documents) come to the driver, and the features
+    of at most train_docs distinct texts: those with the smallest hash, so the choice does not depend
+    on order, ids or partitions. An empty table gives weights that keep everything.
     """
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     counted = texts.mapInArrow(_vote, "votes string").groupBy("votes").count().collect()
     patterns = {tuple("01-".index(c) if c != "-" else NONE for c in r[0]): r[1] for r in counted}
     good, chance = fit_labellers(patterns)
@@ -145,14 +165,13 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
     label = dict(zip(patterns, probable.tolist(), strict=True))
     # The train_docs smallest hashes of distinct texts, however often a text is repeated; only then the texts.
     h = F.xxhash64("text")
-    least = texts.select(h.alias("h")).distinct().orderBy("h").limit(train_docs).collect()
-    rows = texts.filter(h <= least[-1][0]).distinct().orderBy(h, "text").limit(train_docs).collect()
-    x, p = [], []
-    for (text,) in rows:
-        s = statistics(text)
-        x.append(features(text, s))
-        p.append(label[votes(s)])
-    x, p = np.array(x, np.float32), np.array(p)
+    least = texts.select(h.alias("h")).distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    near = texts.filter(h <= least).select(h.alias("h"), "text").distinct()
+    rows = near.mapInArrow(_featured, "h long, votes string, at binary, value binary").orderBy("h", "at", "value").limit(train_docs).collect()
+    x, p = np.zeros((len(rows), DIMENSIONS), np.float32), np.zeros(len(rows))
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r.at, np.int32)] = np.frombuffer(r.value, np.float32)
+        p[i] = label[tuple("01-".index(c) if c != "-" else NONE for c in r.votes)]
     return fit_scorer(x, p), info
 
 
@@ -161,7 +180,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = [float(features(t, statistics(t)) @ weights[:-1] + weights[-1]) for t in (t or "" for t in b.column(1).to_pylist())]
+            z = [float(features(t, statistics(t)) @ weights[:-1] + weights[-1]) for t in (t.as_py() or "" for t in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50))))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -184,7 +203,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.3, text_col: str = "text", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = np.array([float(features(t, statistics(t)) @ weights[:-1] + weights[-1]) for t in (t or "" for t in b.column(at).to_pylist())], float)
+            z = np.array([float(features(t, statistics(t)) @ weights[:-1] + weights[-1]) for t in (t.as_py() or "" for t in b.column(at))], float)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
