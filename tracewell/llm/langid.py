@@ -3,7 +3,8 @@
 A gated recurrent unit runs over the bytes in each direction; every position gets a distribution
 over the languages from both states, and a document's probabilities are the mean over its positions.
 Training is by backpropagation through time on a bounded sample of labelled documents. Texts are
-cut into stretches that run side by side; every byte of every text is a position.
+cut into stretches that run side by side, each with what surrounds it; every byte of every text is
+a position.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Documents of each language that the network learns from at most, and bytes of each of them.
 TRAIN_DOCS, TRAIN_BYTES = 300, 768
-STRETCH, HIDDEN = 96, 8
+#: Bytes of a stretch, bytes read before and after it, states of a direction.
+STRETCH, HALO, HIDDEN = 192, 32, 8
 UNKNOWN = "und"
 
 
@@ -38,8 +40,10 @@ class Network:
         self.w = {d + k: scale(*shape) / div for d in "fb" for k, shape, div in (("e", (256, 3 * h), 1), ("u", (h, 2 * h), h**0.5), ("c", (h, h), h**0.5))}
         self.w |= {"o": scale(2 * h, n), "p": np.zeros(n, np.float32)}
 
-    def _states(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """x: (T, B) bytes in reading order of direction d -> (T, B, H) states in that order."""
+    def _states(self, x: np.ndarray, d: str, keep: list | None = None, inside: np.ndarray | None = None) -> np.ndarray:
+        """x: (T, B) bytes in reading order of direction d -> (T, B, H) states in that order.
+
+        inside: (T, B) ones and zeros; where it is zero there is no text, and the state stays zero."""
         h, e, u, c = self.hidden, self.w[d + "e"], self.w[d + "u"], self.w[d + "c"]
         out = np.empty((*x.shape, h), np.float32)
         s = np.zeros((x.shape[1], h), np.float32)
@@ -50,15 +54,17 @@ class Network:
             rs = r * s
             n = np.tanh(a[:, 2 * h :] + rs @ c)
             new = s + z * (n - s)
+            if inside is not None:
+                new *= inside[t][:, None]
             if keep is not None:
                 keep.append((s, z, r, rs, n))
             s = out[t] = new
         return out
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """(T, B) bytes -> (T, B, L) probabilities of each position."""
-        h = self.hidden
-        z = self._states(x, "f") @ self.w["o"][:h] + (self._states(x[::-1], "b") @ self.w["o"][h:])[::-1] + self.w["p"]
+    def positions(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """(T, B) bytes, and where they are text (None: everywhere) -> (T, B, L) probabilities of each position."""
+        h, back = self.hidden, None if inside is None else inside[::-1]
+        z = self._states(x, "f", inside=inside) @ self.w["o"][:h] + (self._states(x[::-1], "b", inside=back) @ self.w["o"][h:])[::-1] + self.w["p"]
         z = np.exp(z - z.max(axis=2, keepdims=True))
         return z / z.sum(axis=2, keepdims=True)
 
@@ -123,19 +129,28 @@ class Network:
                 self.w[k] = (self.w[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-6)).astype(np.float32)
         return float(np.mean(last[-10:]))
 
-    def pooled(self, texts: list[bytes], stretch: int = STRETCH, width: int = 2048) -> np.ndarray:
-        """(documents, L): the mean over all positions of each text; an empty text gives zeros."""
+    def pooled(self, texts: list[bytes], stretch: int = STRETCH, halo: int = HALO) -> np.ndarray:
+        """(documents, L): the mean over all positions of each text; an empty text gives zeros.
+
+        A stretch is read with up to `halo` bytes of the text before and after it, so both directions
+        reach it with the states that its surroundings leave."""
         out = np.zeros((len(texts), len(self.labels)))
         size = np.array([len(t) for t in texts], np.int64)
-        pieces = -(-size // stretch)
+        pieces, steps = -(-size // stretch), stretch + 2 * halo
         owner = np.repeat(np.arange(len(texts)), pieces)
-        raw = np.frombuffer(b"".join(t + b" " * (int(n) * stretch - len(t)) for t, n in zip(texts, pieces, strict=True)), np.uint8).reshape(-1, stretch)
         piece = np.arange(owner.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         used = np.minimum(size[owner] - piece * stretch, stretch)
+        # Each text stands between bytes that are not read: a halo before, and the rest of its last stretch and a halo after it.
+        raw = np.frombuffer(b"".join(b" " * halo + t + b" " * (int(n) * stretch - len(t) + halo) for t, n in zip(texts, pieces, strict=True)), np.uint8)
+        begin = np.r_[0, np.cumsum(pieces * stretch + 2 * halo)][:-1][owner] + piece * stretch
+        width = max(64, min(1024, (1 << 24) // (steps * max(1, len(self.labels)))))
         for a in range(0, owner.size, width):
-            p = self.positions(np.ascontiguousarray(raw[a : a + width].T))
-            p *= (np.arange(stretch)[:, None] < used[None, a : a + width])[:, :, None]
-            np.add.at(out, owner[a : a + width], p.sum(0, dtype=np.float64))
+            part = slice(a, a + width)
+            place = piece[part] * stretch - halo + np.arange(steps)[:, None]
+            inside = ((place >= 0) & (place < size[owner[part]])).astype(np.float32)
+            p = self.positions(raw[begin[part] + np.arange(steps)[:, None]], inside)[halo : halo + stretch]
+            p *= (np.arange(stretch)[:, None] < used[None, part])[:, :, None]
+            np.add.at(out, owner[part], p.sum(0, dtype=np.float64))
         return out / np.maximum(size, 1)[:, None]
 
 
@@ -149,14 +164,14 @@ def _drawn(most: int, parts: int = 4):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for seed, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = text.encode()
+            for seed, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                t = text.as_py().encode()
                 if len(t) > most:
                     size = max(1, most // parts)
                     at = np.random.default_rng(seed & 0x7FFFFFFFFFFFFFFF).integers(0, len(t) - size + 1, most // size)
                     t = b"".join(t[i : i + size] for i in at.tolist())
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["h", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["lang", "h", "part"])
 
     return run
 
@@ -172,15 +187,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.filter((_bucket("id") != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     h = F.xxhash64("text").alias("h")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # Spark cuts a row_number like this one before the shuffle too, so no task gets all hashes of a language.
     least = rows.select("lang", h).distinct().withColumn("n", place).filter(F.col("n") <= train_docs)
-    ends = {r[0]: r[1] for r in least.groupBy("lang").agg(F.max("h")).collect()}
-    if not ends:
+    ends = materialise(least.groupBy("lang").agg(F.max("h").alias("end")))
+    near = rows.join(ends, "lang").filter(F.xxhash64("text") <= F.col("end")).select("lang", h, "text").distinct()
+    near = near.mapInArrow(_drawn(train_bytes), "lang string, h long, part binary")
+    drawn = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).filter(F.col("n") <= train_docs)
+    found = drawn.select("lang", "h", "part").collect()
+    if not found:
         return Network([])
-    labels, sample = sorted(ends), []
-    for lang in labels:
-        near = rows.filter((F.col("lang") == lang) & (F.xxhash64("text") <= ends[lang]))
-        texts = near.select(h, "text").distinct().mapInArrow(_drawn(train_bytes), "h long, part binary").orderBy("h", "part").limit(train_docs)
-        sample += [(bytes(r[1]), labels.index(lang)) for r in texts.collect()]
+    labels = sorted({r[0] for r in found})
+    number = {lang: i for i, lang in enumerate(labels)}
+    sample = [(bytes(part), number[lang]) for lang, _, part in sorted(found, key=lambda r: (number[r[0]], r[1], r[2]))]
     net = Network(labels)
     net.train([t for t, _ in sample], np.array([k for _, k in sample]))
     return net
@@ -195,8 +213,8 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 if not net.labels:
                     names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
