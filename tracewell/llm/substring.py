@@ -104,7 +104,7 @@ def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: What travels: of each super-k-mer its document, text tag, first word's place, number of words and
 #: words; a row without text holds runs of windows already settled, with the number of windows.
-PARTS = {"doc": np.int64, "tag": np.int32, "at": np.int32, "n": np.int32}
+PARTS = {"doc": np.int64, "tag": np.int64, "at": np.int32, "n": np.int32}
 SENT = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in (*PARTS, "text"))])
 
 
@@ -243,12 +243,12 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3, id_col: str = "doc_
     ids = rows.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
     size, most = ids.agg(F.sum("size"), F.max("n")).first()
     buckets = min(max(64, -(-(size or 0) // bucket_bytes)), 1 << 30)
-    # Only where ids repeat does a text need a mark of its own.
-    tag = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) if (most or 0) > 1 else F.lit(0)
-    rows = rows.withColumn("tag", tag.cast("int"))
+    # Only where ids repeat does a text need a mark of its own: a hash of it, as rows of one id and one text have one result.
+    tag = F.xxhash64(F.lit(7), "text") if (most or 0) > 1 else F.lit(0).cast("long")
+    rows = rows.withColumn("tag", tag)
     sent = rows.select("doc", "tag", "text").mapInArrow(_send(k, m, buckets), "bucket int, doc binary, tag binary, at binary, n binary, text binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    runs = dealt.mapInArrow(_settle(k), "doc long, tag int, run long").groupBy("doc", "tag").agg(F.collect_set("run").alias("runs"))
+    runs = dealt.mapInArrow(_settle(k), "doc long, tag long, run long").groupBy("doc", "tag").agg(F.collect_set("run").alias("runs"))
     joined = rows.join(runs, ["doc", "tag"], "left").select("id", "text", "runs")
     return joined.mapInArrow(_strike(k), "id long, n_words long, n_removed long, text string").withColumnRenamed("id", id_col)
 
