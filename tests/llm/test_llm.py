@@ -424,3 +424,97 @@ def test_vectors_of_mixed_lengths_ids_and_labels(spark, kind, labels):
     for df in (table, table.withColumn("embedding", F.col("embedding").cast("array<float>"))):
         assert Counter(map(tuple, vectors.near_vectors(df, lists=3, block=16).collect())) == want
     assert vectors.near_vectors(table.limit(0)).count() == 0
+
+
+def plain_pooled(net, text, stretch, halo):
+    """The mean over the positions of a text, a byte at a time, each stretch with its surroundings."""
+    w, h = net.w, net.hidden
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(data, d):
+        s, out = np.zeros(h), []
+        for c in data:
+            a = w[d + "e"][c]
+            g = sig(a[: 2 * h] + s @ w[d + "u"])
+            s = s + g[:h] * (np.tanh(a[2 * h :] + (g[h:] * s) @ w[d + "c"]) - s)
+            out.append(s)
+        return out
+
+    total = np.zeros(len(net.labels))
+    for a in range(0, len(text), stretch):
+        lead = min(a, halo)
+        part = text[a - lead : a + stretch + halo]
+        f, b = states(part, "f"), states(part[::-1], "b")[::-1]
+        for i in range(lead, lead + min(stretch, len(text) - a)):
+            z = np.exp(np.concatenate([f[i], b[i]]) @ w["o"] + w["p"])
+            total += z / z.sum()
+    return total / max(1, len(text))
+
+
+def test_pooling_against_a_plain_forward_pass():
+    net = langid.Network(["a", "b", "c"])
+    r = np.random.default_rng(4)
+    texts = [r.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 5, 20, 21, 63, 200)]
+    for stretch, halo in ((20, 6), (192, 32)):
+        want = [plain_pooled(net, t, stretch, halo) for t in texts]
+        assert np.allclose(net.pooled(texts, stretch, halo), want, atol=1e-4)
+    # Surroundings of this size leave next to nothing of what whole texts as one stretch would tell.
+    assert np.abs(net.pooled(texts, 40, 32) - net.pooled(texts, 400, 0)).max() < 0.02
+
+
+def test_langid_of_odd_tables(spark):
+    rows = [(1, "abc def", "xx", "s", 0.5), (1, "abc def", "xx", "s", 0.5), (2, "ghi", None, None, None), (None, "abc", "xx", "s", 1.0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    net = langid.fit(table)
+    got = Counter((x.doc_id, x.lang_pred) for x in langid.predict(table, net).collect())
+    learnt = "xx" if any(zlib.crc32(str(i).encode()) % 5 for i in (1,)) else "und"
+    assert got == {(1, learnt): 2, (2, learnt): 1, (None, learnt): 1}
+    assert langid.predict(table.limit(0), net).count() == 0 and langid.fit(table.limit(0)).labels == []
+
+
+def test_helper_names_of_mixing_do_not_clash(spark):
+    rows = [(i, f"t{i}", f"s{i % 2}", 1, 2, "x", 3, 4) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _cdf int, _n int, __order string, _source int, copy int")
+    out = mixing.replicate(table, {"s0": 1.0, "s1": 1.0}, total=200.0)
+    assert out.columns == [*table.columns[:-1], "copy"]
+    plain = mixing.replicate(table.select("doc_id", "text", "source"), {"s0": 1.0, "s1": 1.0}, total=200.0)
+    assert Counter((r.doc_id, r.copy) for r in out.collect()) == Counter((r.doc_id, r.copy) for r in plain.collect())
+
+
+def test_redact_handles_rows_alone(spark):
+    rows = [(1, "mail a@b.org now"), (1, "call +49 170 1234567"), (None, "x@y.net"), (None, None), (2, "")]
+    got = Counter((r.doc_id, r.text) for r in pii.redact(docs(spark, rows)).collect())
+    assert got == {(1, "mail [EMAIL] now"): 1, (1, "call [PHONE]"): 1, (None, "[EMAIL]"): 1, (None, ""): 1, (2, ""): 1}
+
+
+def test_similar_documents_in_blocks(spark):
+    """Groups larger than a block, and documents that only link past their group's first one."""
+    r = random.Random(21)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(40):
+        t = list(base)
+        for at in range(min(i, 20)):
+            t[at * 6] = f"x{i if i % 3 else 0}{at}"
+        texts.append(" ".join(t))
+    for i in range(60):
+        t = list(base)
+        t[r.randrange(120)] = f"y{i}"
+        texts.append(" ".join(t))
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = smallest(len(texts), links, list(range(len(texts))))
+    assert len(set(want)) > 3
+    for size in (1 << 24, 2000):
+        got = {x.doc_id: x.component_id for x in similar.similar_documents(docs(spark, enumerate(texts)), block_bytes=size).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_chunks_of_other_scripts_follow_their_content(spark):
+    r = random.Random(5)
+    for letters, gap in (("абвгдежзиклмнопрстуфхцчшщыэюя", " "), ("的一是在不了有和人这中大为上个国我以要他", "。")):
+        words = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(3000)]
+        text = gap.join(words)
+        df = spark.createDataFrame([(text,), (letters + gap + text,)], "t string").select(exact_dedup._cut(latin=False).alias("c"))
+        a, b = (set(x.c) for x in df.collect())
+        assert len(a) > 10 and len(a & b) > 0.6 * len(a)

@@ -156,7 +156,7 @@ def _trained(n: int, seed: int) -> dict[str, tuple[str, float]]:
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: int = 300, seed: int = 7) -> DataFrame:
-    """One row per row of docs: id_col, base and spans, both array<struct<kind, at, stop>>.
+    """One row per row of docs: id_col, base and spans, both array<struct<kind, at, stop>>, and t, the text they count in.
 
     at and stop count code points, stop is exclusive; spans are ordered by kind, then at, and hold
     all of base. A null text counts as empty and has none. Added spans never overlap base spans of
@@ -185,7 +185,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cut = model[k][1]
         kept = f"filter({scored}, x -> x.score >= {cut:.12g}D)" if np.isfinite(cut) else f"filter({scored}, x -> false)"
         chosen.append(F.expr(f"if(size(free_{k}) = 0, CAST(array() AS array<struct<at: int, stop: int, score: double>>), {kept})").alias(f"more_{k}"))
-    rows = rows.select("id", *(f"base_{k}" for k in KINDS), *chosen)
+    rows = rows.select("id", "t", *(f"base_{k}" for k in KINDS), *chosen)
     # A number that two kinds claim goes to the better score, then to the kind listed first.
     best = {k: f"filter(more_{k}, x -> NOT exists(more_{o}, y -> y.at < x.stop AND x.at < y.stop AND y.score {'>=' if KINDS.index(o) < KINDS.index(k) else '>'} x.score))" for k, o in (("card", "phone"), ("phone", "card"))}
     named = lambda k, what: f"transform({what}, x -> named_struct('kind', '{k}', 'at', x.at, 'stop', x.stop))"
@@ -194,19 +194,19 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("id").alias(id_col),
         F.expr("concat(" + ", ".join(named(k, f"base_{k}") for k in KINDS) + ")").alias("base"),
         F.expr("concat(" + ", ".join(both[k] for k in KINDS) + ")").alias("spans"),
+        "t",
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts with each span replaced by its kind in brackets, later spans first; id_col and text.
+    """One row per row of docs: id_col and text, each span replaced by its kind in brackets.
 
-    Ids must be unique here, as texts and spans meet by id; overlapping spans of two kinds become
-    the one that starts first. A null text becomes an empty one."""
-    found = personal_spans(docs, id_col, text_col).select(id_col, F.expr("array_sort(spans, (a, b) -> CASE WHEN a.at < b.at THEN -1 WHEN a.at > b.at THEN 1 ELSE b.stop - a.stop END)").alias("spans"))
+    Overlapping spans of two kinds become the one that starts first. A null text becomes an empty
+    one; ids may repeat or be null, as each row is handled alone."""
+    found = personal_spans(docs, id_col, text_col).select(id_col, "t", F.expr("array_sort(spans, (a, b) -> CASE WHEN a.at < b.at THEN -1 WHEN a.at > b.at THEN 1 ELSE b.stop - a.stop END)").alias("spans"))
     start = "named_struct('at', 0, 'out', '')"
     step = "(a, x) -> if(x.at < a.at, a, named_struct('at', x.stop, 'out', concat(a.out, substr(t, a.at + 1, x.at - a.at), '[', upper(x.kind), ']')))"
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(found, id_col)
-    return rows.select(id_col, F.expr(f"aggregate(spans, {start}, {step}, a -> concat(a.out, substr(t, a.at + 1)))").alias("text"))
+    return found.select(id_col, F.expr(f"aggregate(spans, {start}, {step}, a -> concat(a.out, substr(t, a.at + 1)))").alias("text"))
 
 
 def _joined(spans: str) -> Column:
