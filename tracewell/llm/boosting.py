@@ -50,10 +50,12 @@ def score(model: list, x: np.ndarray, rate: float = 0.3) -> np.ndarray:
 
 
 def threshold(scores: np.ndarray, y: np.ndarray, precision: float = 0.995) -> float:
-    """The lowest score from which on the held-out precision is at least `precision`."""
+    """The lowest score from which on the held-out precision is at least `precision`; equal scores
+    are in or out together."""
     order = np.argsort(-scores)
     right = np.cumsum(y[order]) / np.arange(1, y.size + 1)
-    good = np.flatnonzero(right >= precision)
+    last = np.r_[scores[order][1:] != scores[order][:-1], True]
+    good = np.flatnonzero(last & (right >= precision))
     return float(scores[order][good[-1]]) if good.size else float("inf")
 
 
