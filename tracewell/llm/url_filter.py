@@ -24,6 +24,16 @@ ENTRIES = [
     ("trusted", "blog.tionsh.example.net", "allow", "add", "2024-01-01"),
     ("sections", "therha.example.com/en", "block", "add", "2024-03-01"),
     ("sections", "therha.example.com/en", "block", "remove", "2024-09-01"),
+    # Added again while active, removed twice, and back on the list: only changes of state count.
+    ("spam", "spam-farm.example.org", "block", "add", "2024-09-20"),
+    ("spam", "spam-farm.example.org", "block", "remove", "2024-10-10"),
+    ("spam", "spam-farm.example.org", "block", "remove", "2024-10-15"),
+    ("spam", "spam-farm.example.org", "block", "add", "2024-12-01"),
+    # Overlaps: a whole domain for two weeks of each quarter, and an exception in some of them.
+    *(("outages", "example.com", "block", action, f"2024-{month:02}-{day:02}") for month in (2, 5, 8, 11) for action, day in (("add", 3), ("remove", 17))),
+    ("outages", "cheap-pills.example.com", "allow", "add", "2024-05-10"),
+    ("outages", "cheap-pills.example.com", "allow", "remove", "2024-08-10"),
+    *(("mirrors", "example.org", "block", action, f"2024-{month:02}-{day:02}") for month in range(1, 13) for action, day in (("add", 27), ("remove", 28))),
 ]
 
 
@@ -36,12 +46,14 @@ def intervals(listed: DataFrame) -> DataFrame:
     """list, entry, effect, valid_from (inclusive), valid_to (exclusive, null: still active).
 
     Of changes of one entry at one time, a removal comes last. Adding what is active and removing
-    what is not change nothing. Rows with a null entry, time or action are left out.
+    what is not change nothing: the interval keeps its first day. Rows with a null entry, time or
+    action are left out; repeated rows count once. An empty list gives no intervals.
     """
     order = Window.partitionBy("list", "entry", "effect").orderBy("at", "removes")
     known = listed.select("list", F.lower("entry").alias("entry"), "effect", "at", (F.col("action") == "remove").alias("removes"))
     known = known.filter("entry is not null and at is not null and removes is not null").distinct()
-    spans = known.select("*", F.lead("at").over(order).alias("valid_to")).filter("not removes")
+    turns = known.withColumn("was", F.coalesce(F.lag("removes").over(order), F.lit(True))).filter("removes <> was")
+    spans = turns.select("*", F.lead("at").over(order).alias("valid_to")).filter("not removes")
     spans = spans.filter("valid_to is null or valid_to > at")
     return spans.select("list", "entry", "effect", F.col("at").alias("valid_from"), "valid_to")
 
@@ -61,7 +73,9 @@ def judge(pages: DataFrame, fetched: Column, listed: DataFrame, id_col: str = "p
     first list by name. A page is kept unless a blocking entry decides. A url without a host, a null
     url and a null time match nothing and are kept; hosts are compared in lower case without a final
     dot. Captures are merged by host, segment and time before they meet the list, so a hot host is
-    looked up once a time; no side is broadcast unless Spark measures it as small.
+    looked up once a time; no side is broadcast unless Spark measures it as small. Repeated rows and
+    ids have repeated results, other columns of either table are ignored, and an empty table of pages
+    gives an empty result.
     """
     url = F.col(url_col)
     seen = pages.select(
@@ -97,9 +111,11 @@ ORACLE = (
     "WITH listed(list, entry, effect, action, changed) AS (VALUES "
     + ", ".join(f"('{a}', '{b}', '{c}', '{d}', TIMESTAMP '{e}')" for a, b, c, d, e in ENTRIES)
     + r"""),
+turns AS (
+  SELECT *, lag(action, 1, 'remove') OVER (PARTITION BY list, entry, effect ORDER BY changed, action = 'remove') AS was FROM listed),
 spans AS (
   SELECT list, entry, effect, action, changed AS valid_from,
-         lead(changed) OVER (PARTITION BY list, entry, effect ORDER BY changed, action = 'remove') AS valid_to FROM listed),
+         lead(changed) OVER (PARTITION BY list, entry, effect ORDER BY changed, action = 'remove') AS valid_to FROM turns WHERE action <> was),
 seen AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)) AS segment,
