@@ -22,6 +22,8 @@ BASE = 0x9E3779B97F4A7C15
 #: Text bytes a bucket stands for, and text bytes a batch takes at once.
 BUCKET_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 NO_ID = np.iinfo(np.int64).max
+#: Windows that a task remembers from batch to batch; the others travel once a batch.
+HOT_WINDOWS = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,6 +99,33 @@ def least_doc(words: Words, at: np.ndarray, doc: np.ndarray, k: int, h: np.ndarr
     return low
 
 
+class Hot:
+    """Windows that a batch of a task held more than once, with the least document that had them: what
+    a later batch of the task knows of them need not travel again. At most HOT_WINDOWS are kept."""
+
+    def __init__(self, k: int):
+        self.k, self.hash, self.seen = k, np.zeros(0, np.uint64), {}
+
+    def settle(self, words: Words, at: np.ndarray, h: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The least document of each window, earlier batches included; takes this batch's hot windows up."""
+        out = low.copy()
+        for i in np.flatnonzero(np.isin(h, self.hash)).tolist():
+            text, least = self.seen[int(h[i])]
+            if text == words.window(at[i], self.k):
+                out[i] = min(int(out[i]), least)
+        again = np.flatnonzero(low < doc)
+        _, first = np.unique(h[again], return_index=True)
+        for i in again[first].tolist():
+            text, key = words.window(at[i], self.k), int(h[i])
+            if key in self.seen:
+                if self.seen[key][0] == text:
+                    self.seen[key] = text, min(self.seen[key][1], int(out[i]))
+            elif len(self.seen) < HOT_WINDOWS:
+                self.seen[key] = text, int(out[i])
+        self.hash = np.fromiter(self.seen, np.uint64, len(self.seen))
+        return out
+
+
 def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.r_[np.int8(0), flag.view(np.int8), np.int8(0)])
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -116,7 +145,7 @@ def _send(k: int, m: int, buckets: int):
         sized = {c: press.compress(parts[c].astype(kind).tobytes()) for c, kind in PARTS.items()}
         return sized | {"bucket": bucket, "text": None if text is None else press.compress(text)}
 
-    def one(doc: np.ndarray, tag: np.ndarray, texts: list[bytes]) -> Iterator[dict]:
+    def one(doc: np.ndarray, tag: np.ndarray, texts: list[bytes], hot: "Hot") -> Iterator[dict]:
         words = Words(b"\n".join(texts))
         n = words.hash.size - k + 1
         if n < 1:
@@ -128,7 +157,9 @@ def _send(k: int, m: int, buckets: int):
         if not at.size:
             return
         known = np.zeros(n, bool)
-        known[at] = least_doc(words, at, doc[of[at]], k) < doc[of[at]]
+        rolled = _rolled(words.hash, k)
+        low = least_doc(words, at, doc[of[at]], k, rolled[at])
+        known[at] = hot.settle(words, at, rolled[at], low, doc[of[at]]) < doc[of[at]]
         ask = np.zeros(n, bool)
         ask[at] = ~known[at]
         s, e = _runs(known)
@@ -149,6 +180,7 @@ def _send(k: int, m: int, buckets: int):
             yield pack(int(bucket[a]), text, doc=doc[own[a:b]], tag=tag[own[a:b]], at=begin[a:b] - first[own[a:b]], n=end[a:b] - begin[a:b] + k - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Hot(k)
         for b in batches:
             doc, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts, begin, size = [], 0, 0
@@ -156,7 +188,7 @@ def _send(k: int, m: int, buckets: int):
                 texts.append(b" ".join((b.column(2)[i].as_py() or "").encode().split()))
                 size += len(texts[-1])
                 if size >= BATCH_BYTES or i == b.num_rows - 1:
-                    if rows := list(one(doc[begin : i + 1], tag[begin : i + 1], texts)):
+                    if rows := list(one(doc[begin : i + 1], tag[begin : i + 1], texts, hot)):
                         yield pa.RecordBatch.from_pylist(rows, SENT)
                     texts, begin, size = [], i + 1, 0
 
