@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: names of automated authors.
+BOT = r"(?i)\[bot\]|^\s*(?:github-actions|dependabot(?:-preview)?|renovate(?:-bot)?|pre-commit-ci|greenkeeper|snyk-bot|mergify|imgbot|whitesource|codecov|semantic-release-bot|allcontributors)\b"
+
 from ..functions.text import path_class
 
 
@@ -16,7 +21,7 @@ def contributors(commits: DataFrame) -> DataFrame:
 
 def owner(counts: DataFrame, group: str) -> DataFrame:
     """The maintainer of each group among people: the share of the largest, .95 at most, bots left out."""
-    people = counts.filter(~F.lower("who").rlike(r"\[bot\]|dependabot|renovate|github-actions"))
+    people = counts.filter(~F.col("who").rlike(BOT))
     best = people.groupBy(group).agg(F.min_by("who", F.struct(-F.col("n"), "who")).alias("owner"), (F.max("n") / F.sum("n")).alias("share"))
     return best.withColumn("confidence", F.least("share", F.lit(0.95)))
 
@@ -34,15 +39,31 @@ def within_budget(commits: DataFrame, budget: int, most: int) -> DataFrame:
     return commits.withColumn("running", F.sum("size").over(order)).filter((F.col("running") <= budget) & (F.col("place") <= most))
 
 
-def code_owner(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """files (path) and rules (place, prefix, owner): the last rule whose folder holds the file wins.
+def ownership_rules(content: str) -> list[tuple[str, list[str]]]:
+    """(pattern, owners) of a code-owners file in order; comments and patterns without owners are left out."""
+    lines = [line.split() for line in content.splitlines() if line.strip() and not line.strip().startswith("#")]
+    return [(x[0], x[1:]) for x in lines if len(x) > 1]
+
+
+def glob_pattern(pattern: str) -> str:
+    """A code-owners pattern as a regular expression: a name without a folder holds at any depth, a
+    folder for all in it, * within a folder and ** over folders."""
+    p = pattern.removeprefix("/")
+    if p.endswith("/"):
+        return "^" + re.escape(p)
+    parts = re.split(r"(\*\*/|\*\*|\*)", p if "/" in p else f"**/{p}")
+    return "^" + "".join({"**/": "(?:.+/)?", "**": ".*", "*": "[^/]*"}.get(x, re.escape(x)) for x in parts) + "$"
+
+
+def code_owners(files: DataFrame, content: str) -> DataFrame:
+    """(path, owners, pattern) of files (path): the last matching rule wins; nulls where none does.
 
-    A path is looked up by each of its folders, so rules meet files by equality."""
-    parts = F.split("path", "/")
-    folders = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    hits = files.select("path", F.explode(folders).alias("prefix")).join(rules, "prefix")
-    best = hits.groupBy("path").agg(F.max_by("owner", "place").alias("owner"))
-    return files.join(best, "path", "left").select("path", "owner")
+    The rules are one expression, so files need no join."""
+    owners, which = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    for pattern, names in ownership_rules(content):
+        hit = F.col("path").rlike(glob_pattern(pattern))
+        owners, which = F.when(hit, F.array(*map(F.lit, names))).otherwise(owners), F.when(hit, F.lit(pattern)).otherwise(which)
+    return files.select("path", owners.alias("owners"), which.alias("pattern"))
 
 
 def source_status(evidence: DataFrame, configured: list[str]) -> DataFrame:

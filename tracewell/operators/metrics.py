@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,23 +102,76 @@ def anomaly(kind: Column, spike: float = SPIKE, drop: float = DROP) -> Column:
     )
 
 
-#: Words of a panel's title, unit or expression by metric kind, the first kind wins.
+#: Words of a panel's title or queries, and units, by metric kind; the first kind wins.
 PANELS = [
-    ("queue", "queue|backlog|waiting|lag|depth|pending"),
-    ("error-rate", "error|fail|exception|5xx"),
-    ("latency", "latency|duration|p9[0-9]|response time|seconds"),
-    ("throughput", "throughput|rate|rps|requests|per second"),
-    ("saturation", "cpu|memory|disk|saturation|utili[sz]ation"),
+    ("queue", "queue|bullmq|backlog|depth|jobs", None),
+    ("error-rate", "error|5xx|fail", None),
+    ("latency", r"latency|duration|p9\d|histogram_quantile", "s"),
+    ("throughput", r"rate\(|throughput|requests_total|operations_total|reqps", "reqps"),
+    ("saturation", "cpu|memory|disk|saturation", "percent"),
 ]
 
 
-def panel_kind(text: Column) -> Column:
-    out = F.lit("other")
-    for kind, words in reversed(PANELS):
-        out = F.when(F.lower(text).rlike(words), kind).otherwise(out)
+def panel_kind(title: Column, unit: Column, exprs: Column) -> Column:
+    """The metric kind of a panel with an array of queries."""
+    queries = F.lower(F.array_join(exprs, " "))
+    hay, out = F.concat_ws(" ", F.lower(title), queries), F.lit("other")
+    for kind, words, its_unit in reversed(PANELS):
+        test = hay.rlike(words)
+        if kind == "error-rate":
+            test = test | F.contains(queries, F.lit('status_code=~"5'))
+        out = F.when(test | (unit == its_unit) if its_unit else test, kind).otherwise(out)
     return out
 
 
+_TARGETS = "ARRAY<STRUCT<expr: STRING>>"
+_PANEL = "STRUCT<id: STRING, type: STRING, title: STRING, datasource: STRING, fieldConfig: STRUCT<defaults: STRUCT<unit: STRING>>, targets: " + _TARGETS + ", panels: STRING>"
+
+
+def panels(dashboards: DataFrame, depth: int = 8) -> DataFrame:
+    """(uid, id, title, type, unit, datasource, exprs, kind) of the leaf panels of dashboards (uid, json).
+
+    Rows hold panels, at most `depth` levels of them; a row itself is no panel. Queries that are empty are left out."""
+    level = dashboards.select("uid", F.get_json_object("json", "$.panels").alias("nested"))
+    leaves = []
+    for _ in range(depth):
+        rows = level.select("uid", F.explode(F.from_json("nested", f"ARRAY<{_PANEL}>")).alias("p"))
+        leaves.append(rows.filter("coalesce(p.type, '') <> 'row'").select("uid", "p"))
+        level = rows.filter("p.type = 'row' AND p.panels IS NOT NULL").select("uid", F.col("p.panels").alias("nested"))
+    found = leaves[0]
+    for part in leaves[1:]:
+        found = found.union(part)
+    source = F.when(F.col("p.datasource").startswith("{"), F.get_json_object("p.datasource", "$.uid")).otherwise(F.col("p.datasource"))
+    exprs = F.filter(F.transform(F.coalesce("p.targets", F.array().cast(_TARGETS)), lambda t: t["expr"]), lambda e: e.isNotNull() & (e != ""))
+    rows = found.select(
+        "uid", F.coalesce(F.col("p.id").try_cast("long"), F.lit(0)).alias("id"), F.coalesce("p.title", F.lit("")).alias("title"), F.coalesce("p.type", F.lit("")).alias("type"),
+        F.coalesce("p.fieldConfig.defaults.unit", F.lit("none")).alias("unit"), F.coalesce(source, F.lit("")).alias("datasource"), exprs.alias("exprs"),
+    )
+    return rows.withColumn("kind", panel_kind(F.col("title"), F.col("unit"), F.col("exprs")))
+
+
+def query_text(expr: Column) -> Column:
+    """A panel's query with interval macros filled in; null if another variable is left."""
+    filled = F.replace(F.replace(expr, F.lit("$__rate_interval"), F.lit("5m")), F.lit("$__interval"), F.lit("5m"))
+    return F.when(~F.contains(filled, F.lit("$")), filled)
+
+
+def hint_tokens(hint: str) -> list[str]:
+    """Words of at least three characters of a hint, camelCase and acronyms taken apart."""
+    spaced = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z])([A-Z])", r"\1 \2", hint))
+    return [t for t in re.split("[^a-z0-9]+", spaced.lower()) if len(t) >= 3]
+
+
+def match_source(title: Column, exprs: Column, labels: Column, hint: str) -> Column:
+    """Where a hint meets a panel: panel-title, query-text or series-labels (an array of label values); null where it does not."""
+    words = hint_tokens(hint)
+    if not words:
+        return F.lit(None).cast("string")
+    some = lambda hay: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(hay, w))
+    by_query = F.exists(exprs, lambda e: some(F.lower(e)))
+    return F.when(some(F.lower(title)), "panel-title").when(by_query, "query-text").when(some(F.lower(F.array_join(labels, " "))), "series-labels")
+
+
 def bucketed(rows: DataFrame, key: str, ts: str, seconds: int, value: Column) -> DataFrame:
     """(series, t, v): value per key and time bucket of the given width."""
     t = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)) * seconds

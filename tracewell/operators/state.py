@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 STALE_HOURS, LEGACY_HOURS = 48.0, 2160.0
 #: Fixed value: statuses that point to trouble.
-ANOMALOUS = "(?i)fail|error|cancel|reject|retry|stuck|timeout|dead|abort|expired"
+ANOMALOUS = "(?i)fail|error|stuck|timeout|disconn|inactive|stale|cancel|dead|broken|pending|retry|unhealthy"
 
 
 def age_class(hours: Column, stale: float = STALE_HOURS, legacy: float = LEGACY_HOURS) -> Column:
@@ -25,12 +25,30 @@ def profile(rows: DataFrame, name: str, status: str, date: str, now: Column, ano
     return out.select(F.lit(name).alias("collection"), "status", "n", F.coalesce(F.col("status").rlike(anomalous), F.lit(False)).alias("anomalous"), "total", "last_activity", "age_hours", "class")
 
 
+def matches_terms(name: Column, terms: list[str]) -> Column:
+    """Whether a container's name has to do with any of the terms of at least four characters; without terms it has."""
+    if not terms:
+        return F.lit(True)
+    low = F.lower(name)
+    single = F.regexp_replace(low, "s$", "")
+    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: (F.length(t) >= 4) & (F.contains(low, t) | F.contains(t, single)))
+
+
+def redis_signals(prefixes: DataFrame) -> DataFrame:
+    """(db, kind, n, relevance) of sampled key prefixes (db, keys, prefix, n): a summary of each database
+    that has keys, and its lock and rate-limit keys."""
+    rows = prefixes.filter("keys > 0")
+    lock, limit = F.col("prefix").rlike("(?i)lock"), F.col("prefix").rlike("(?i)rate.?limit|throttle")
+    sums = rows.groupBy("db").agg(F.max("keys").alias("keys"), F.sum(F.when(lock, F.col("n"))).alias("locks"), F.sum(F.when(limit, F.col("n"))).alias("limits"))
+    signal = lambda kind, n, r: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), F.lit(r).alias("relevance"))
+    found = F.array(signal("summary", F.col("keys"), 0.4), F.when(F.col("locks") > 0, signal("locks", F.col("locks"), 0.6)), F.when(F.col("limits") > 0, signal("rate-limit", F.col("limits"), 0.6)))
+    return sums.select("db", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("s")).select("db", "s.kind", "s.n", "s.relevance")
+
+
 def state_signals(profiles: DataFrame, terms: list[str]) -> DataFrame:
     """Signals of profile() rows: anomalies (kept if relevant to the terms, or of an active table),
     and staleness of relevant tables."""
-    relevant = F.lit(False)
-    for t in terms:
-        relevant = relevant | F.lower("collection").contains(t.lower())
+    relevant = matches_terms(F.col("collection"), terms)
     legacy = F.col("class") == "legacy"
     rows = profiles.withColumn("relevant", relevant)
     odd = rows.filter(F.col("anomalous") & (F.col("relevant") | (F.col("class") == "active")))

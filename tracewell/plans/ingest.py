@@ -111,10 +111,24 @@ def git_bounded(spark: SparkSession, d: str) -> DataFrame:
     return changes.within_budget(o.selectExpr("o_orderkey AS id", "CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place", "o_totalprice AS size"), 5_000_000, 200)
 
 
-@query("x_codeowners", "SELECT path, CASE WHEN path LIKE 'LARGE/7/%' THEN 'c' WHEN path LIKE 'SMALL/%' THEN 'b' ELSE 'a' END AS owner FROM (SELECT p_type || '/' || p_size || '/' || p_partkey AS path FROM part)")
+OWNERS = """
+# everything, then the more special
+*               @all
+/LARGE/         @large @big
+*ONOMY/7     @seven
+SMALL*/**/1*    @ones
+**/13
+docs/           @docs
+"""
+
+
+@query("x_codeowners", """SELECT path, CASE WHEN regexp_matches(path, '^SMALL[^/]*/(.+/)?1[^/]*$') THEN ['@ones'] WHEN regexp_matches(path, '^[^/]*ONOMY/7$') THEN ['@seven'] WHEN starts_with(path, 'LARGE/') THEN ['@large', '@big'] ELSE ['@all'] END AS owners,
+ CASE WHEN regexp_matches(path, '^SMALL[^/]*/(.+/)?1[^/]*$') THEN 'SMALL*/**/1*' WHEN regexp_matches(path, '^[^/]*ONOMY/7$') THEN '*ONOMY/7' WHEN starts_with(path, 'LARGE/') THEN '/LARGE/' ELSE '*' END AS pattern
+ FROM (SELECT p_type || '/' || p_size || '/' || p_partkey AS path FROM part UNION ALL SELECT p_type || '/' || p_size FROM part)""")
 def codeowners(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(1, "", "a"), (2, "SMALL", "b"), (3, "LARGE/7", "c")], "place int, prefix string, owner string")
-    return changes.code_owner(table(spark, d, "part").selectExpr("p_type || '/' || p_size || '/' || p_partkey AS path"), rules)
+    p = table(spark, d, "part")
+    paths = p.selectExpr("p_type || '/' || p_size || '/' || p_partkey AS path").union(p.selectExpr("p_type || '/' || p_size"))
+    return changes.code_owners(paths, OWNERS)
 
 
 @query("agg_per_segment", "SELECT event_type AS base, count(DISTINCT user_id) AS segments FROM events WHERE user_id % 3 = 0 GROUP BY 1 HAVING count(DISTINCT user_id) >= 2")

@@ -196,13 +196,14 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
     return metrics.histogram(table(spark, d, "events"), "value")
 
 
-_PROFILE = """profile AS (SELECT 'orders' AS collection, o_orderstatus AS status, count(*) AS n, o_orderstatus = 'F' AS anomalous, sum(count(*)) OVER () AS total, max(max(o_orderdate)) OVER () AS last_activity,
+_PROFILE = """profile AS (SELECT 'orders' AS collection, CASE o_orderstatus WHEN 'F' THEN 'Job Failed' WHEN 'P' THEN 'pending' ELSE 'open' END AS status, count(*) AS n, o_orderstatus IN ('F', 'P') AS anomalous, sum(count(*)) OVER () AS total, max(max(o_orderdate)) OVER () AS last_activity,
  date_diff('second', max(max(o_orderdate)) OVER (), TIMESTAMP '2001-08-05') / 3600.0 AS age_hours, 'stale' AS class FROM orders GROUP BY o_orderstatus)"""
 
 
 @query("agg_state", f"WITH {_PROFILE} SELECT collection, status, n, anomalous, CAST(total AS BIGINT) AS total, last_activity, age_hours, class FROM profile")
 def state_profile(spark: SparkSession, d: str) -> DataFrame:
-    return state.profile(table(spark, d, "orders"), "orders", "o_orderstatus", "o_orderdate", F.expr("TIMESTAMP_NTZ '2001-08-05'"), anomalous="^F$")
+    named = table(spark, d, "orders").withColumn("status", F.expr("CASE o_orderstatus WHEN 'F' THEN 'Job Failed' WHEN 'P' THEN 'pending' ELSE 'open' END"))
+    return state.profile(named, "orders", "status", "o_orderdate", F.expr("TIMESTAMP_NTZ '2001-08-05'"))
 
 
 @query("sc_state_signals", f"WITH {_PROFILE} SELECT collection, 'anomaly' AS kind, status, n, class, 0.85 AS relevance FROM profile WHERE anomalous UNION ALL SELECT DISTINCT collection, 'stale', NULL, CAST(total AS BIGINT), class, 0.6 FROM profile")

@@ -13,25 +13,6 @@ from .common import Registry
 query = Registry()
 
 
-@query("prj_severity", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'click' THEN 'warning' WHEN event_id % 3 = 0 THEN 'error' WHEN event_id % 3 = 1 THEN 'warning' WHEN event_type = 'view' THEN 'warning' ELSE 'error' END AS tier FROM events")
-def severity(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    code = F.expr("CASE event_id % 3 WHEN 0 THEN 'E_' ELSE IF(event_id % 3 = 1, 'W_', '') END || IF(event_type = 'view', 'SLOW', 'X')")
-    return e.select("event_id", rules.severity_tier(code, F.expr("CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warn' END")).alias("tier"))
-
-
-@query("prj_failreason", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'auth' WHEN 2 THEN 'rate-limit' WHEN 3 THEN 'server' WHEN 4 THEN 'connection' ELSE 'unknown' END AS reason FROM events")
-def failreason(spark: SparkSession, d: str) -> DataFrame:
-    m = F.expr("CASE event_id % 7 WHEN 0 THEN 'Request timed out' WHEN 1 THEN 'HTTP 401' WHEN 2 THEN 'Too Many requests' WHEN 3 THEN 'status 503' WHEN 4 THEN 'ECONNREFUSED' ELSE 'odd' END")
-    return table(spark, d, "events").select("event_id", rules.failure_class(m).alias("reason"))
-
-
-@query("prj_intent", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'source-impact' WHEN 1 THEN 'explain' ELSE 'incident' END AS intent FROM events")
-def intent(spark: SparkSession, d: str) -> DataFrame:
-    m = F.expr("CASE event_id % 4 WHEN 0 THEN 'What breaks if I change x' WHEN 1 THEN 'How does x work' WHEN 2 THEN 'orders fail' ELSE NULL END")
-    return table(spark, d, "events").select("event_id", rules.intent(m).alias("intent"))
-
-
 @query("flt_since", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 90) * 60 WHEN 1 THEN (event_id % 90) * 3600 WHEN 2 THEN (event_id % 90) * 86400 ELSE 604800 END AS seconds FROM events")
 def since(spark: SparkSession, d: str) -> DataFrame:
     t = F.expr("CASE event_id % 4 WHEN 0 THEN event_id % 90 || 'm' WHEN 1 THEN event_id % 90 || 'h' WHEN 2 THEN event_id % 90 || 'd' ELSE 'soon' END")
@@ -43,17 +24,6 @@ def record(spark: SparkSession, d: str) -> DataFrame:
     return rules.record_read(table(spark, d, "orders"), {"o_custkey": 7, "o_orderstatus": "O"}, ["o_orderkey", "o_totalprice"], 5)
 
 
-@query("flt_relevance", f"SELECT key, contains(key, 'error-3') OR list_contains(services, 'svc-4') AS direct, CASE WHEN contains(key, 'error-3') OR list_contains(services, 'svc-4') THEN CASE WHEN is_new THEN 0.95 WHEN ratio >= 1.5 THEN 0.9 ELSE 0.85 END ELSE CASE WHEN is_new THEN 0.7 WHEN ratio >= 1.5 THEN 0.55 ELSE 0.35 END END AS relevance FROM ({observability.query.oracles['agg_analyze_errors']})")
-def relevance(spark: SparkSession, d: str) -> DataFrame:
-    return rules.relevance(observability.analyze_errors(spark, d), ["error-3", "svc-4"]).select("key", "direct", "relevance")
-
-
-@query("flt_queue_hygiene", "WITH q AS (SELECT DISTINCT CASE WHEN s_suppkey % 10 = 0 THEN 'testqueue' ELSE 'q' || s_nationkey || '-x' END AS queue, CASE WHEN s_suppkey % 3 = 0 THEN 'worker' ELSE 'producer' END AS side, CASE WHEN s_suppkey % 4 = 0 THEN 'tests/a.ts' ELSE 'src/a' || s_suppkey || '.ts' END AS file FROM supplier), r AS (SELECT * FROM q WHERE queue <> 'testqueue' AND file NOT LIKE 'tests/%' AND length(queue) >= 3) SELECT * FROM r WHERE queue IN (SELECT queue FROM r WHERE side = 'worker')")
-def hygiene(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "supplier").selectExpr("IF(s_suppkey % 10 = 0, 'testqueue', 'q' || s_nationkey || '-x') AS queue", "IF(s_suppkey % 3 = 0, 'worker', 'producer') AS side", "IF(s_suppkey % 4 = 0, 'tests/a.ts', 'src/a' || s_suppkey || '.ts') AS file").distinct()
-    return rules.plausible_queues(e)
-
-
 @query("flt_refine", f"WITH {investigation._EV} SELECT id FROM ev WHERE (contains(lower(id || ' ' || category), 'queue') OR contains(lower(id || ' ' || category), 'error')) AND NOT contains(lower(id || ' ' || category), 'summary')")
 def refine(spark: SparkSession, d: str) -> DataFrame:
     ev = investigation.gather(spark, d).withColumn("title", F.col("id"))
@@ -71,12 +41,6 @@ def redis_role(spark: SparkSession, d: str) -> DataFrame:
     return rules.redis_roles(table(spark, d, "events").groupBy(p).agg(F.count("*").alias("n")))
 
 
-@query("sc_seed", "SELECT p_partkey AS id, p_name AS name, least(2.0 * (CASE WHEN split_part(p_name, ' ', 1) IN ('red', 'gear') THEN 1 ELSE 0 END + CASE WHEN split_part(p_name, ' ', 2) IN ('red', 'gear') THEN 1 ELSE 0 END), 6) + CASE WHEN p_partkey IN (3, 5) THEN 5 ELSE 0 END + CASE p_partkey % 3 WHEN 0 THEN -6 WHEN 1 THEN -4 ELSE 1 END + least(log2(p_size + 1), 4) / 4 AS score FROM part")
-def seed(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name", "CASE p_partkey % 3 WHEN 0 THEN 'tests/x.py' WHEN 1 THEN 'a.md' ELSE 'src/x.py' END AS path", "p_size AS lines")
-    return rules.seed_score(p, ["Red", "gear"], ["3", "5"])
-
-
 @query("sc_route", f"WITH {investigation._EV} SELECT * FROM (VALUES (0, 'queue', 'inspect workers and backlog'), (1, 'database', 'check table state'), (2, 'deployment', 'compare the release'), (3, 'logs', 'open the signatures'), (4, 'metrics', 'open the panels')) r(place, category, step) WHERE category IN (SELECT category FROM ev WHERE priority <> 'info')".replace("SELECT * FROM (VALUES", "SELECT place, step FROM (VALUES"))
 def route(spark: SparkSession, d: str) -> DataFrame:
     return rules.routes(investigation.gather(spark, d))

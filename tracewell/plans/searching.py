@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +117,19 @@ def recall_memory(spark: SparkSession, d: str) -> DataFrame:
     return search.recall_memory(m, F.expr("TIMESTAMP_NTZ '2001-08-05'"))
 
 
-@query("fn_redact", "SELECT doc_id, md5(" + "".join("regexp_replace(" for _ in text.SECRETS + text.PERSONAL) + "text" + "".join(", '{}', '{}', 'g')".format(p.replace("'", "''"), r.replace("$1$2", r"\1\2")) for p, r in text.SECRETS + text.PERSONAL) + ") AS digest FROM documents")
+def _sql_redacted() -> str:
+    put = lambda r: re.sub(r"\$(\d)", r"\\\1", r)
+    q = lambda p: p.replace("'", "''")
+    out = "text"
+    for p, r in text.SECRETS:
+        out = f"regexp_replace({out}, '{q(p)}', '{put(r)}', 'g')"
+    out = f"replace(regexp_replace(regexp_replace({out}, '({text.UUID})|{text.CARD}', '\\1' || chr(57540), 'g'), '({text.UUID})' || chr(57540), '\\1', 'g'), chr(57540), '[REDACTED-CARD]')"
+    for p, r in text.PERSONAL:
+        out = f"regexp_replace({out}, '{q(p)}', '{put(r)}', 'g')"
+    return out
+
+
+@query("fn_redact", f"SELECT doc_id, md5({_sql_redacted()}) AS digest FROM documents")
 def redact(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(text.redact(F.col("text"))).alias("digest"))
 
@@ -126,18 +140,6 @@ def content_any(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).filter(F.contains(low, F.lit("token =")) | F.contains(low, F.lit("password"))).select("doc_id").orderBy("doc_id").limit(100)
 
 
-_PATH = """CASE WHEN regexp_matches(p, '(?:^|/)(?:node_modules|vendor|third_party|site-packages|dist)(?:/|$)') THEN 'vendored'
- WHEN regexp_matches(p, '(?:^|/)(?:tests?|__tests__|spec|e2e)(?:/|$)') OR regexp_matches(p, '(?:^|/)(?:test_[^/]*|[^/]*(?:_test|\\.test|\\.spec)\\.[a-z]+)$') THEN 'test'
- WHEN regexp_matches(p, '(?:^|/)(?:examples?|samples?|demos?)(?:/|$)') THEN 'example' WHEN regexp_matches(p, '(?:^|/)(?:docs?)(?:/|$)') OR regexp_matches(p, '\\.(?:md|rst|txt)$') THEN 'docs'
- WHEN regexp_matches(p, '\\.(?:json|ya?ml|toml|ini|cfg|env)$') THEN 'config' ELSE 'product' END"""
-
-
-@query("flt_path_class", "SELECT page_id, " + _PATH + " AS class FROM (SELECT page_id, lower(CASE page_id % 4 WHEN 0 THEN replace(url, '/en/', '/tests/') WHEN 1 THEN replace(url, '/en/', '/docs/') WHEN 2 THEN replace(url, '.html', '.yaml') ELSE url END) AS p FROM pages)")
-def path_class(spark: SparkSession, d: str) -> DataFrame:
-    p = F.expr("CASE page_id % 4 WHEN 0 THEN replace(url, '/en/', '/tests/') WHEN 1 THEN replace(url, '/en/', '/docs/') WHEN 2 THEN replace(url, '.html', '.yaml') ELSE url END")
-    return table(spark, d, "pages").select("page_id", text.path_class(p).alias("class"))
-
-
 @query("fn_tokens", "SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) >= 4))) AS tokens FROM conversations")
 def fn_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_sort(text.tokens(F.col("text"), 4)).alias("tokens"))
