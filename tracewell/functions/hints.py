@@ -61,7 +61,7 @@ def generic_tag(tag: Column) -> Column:
 def usable_signature(sig: Column) -> Column:
     """The signature, or null if it is blank or holds generic parts only."""
     s = F.trim(F.coalesce(sig, F.lit("")))
-    parts = F.filter(F.transform(F.split(s, "[|,]"), F.trim), lambda c: c != "")
+    parts = F.filter(F.transform(F.split(s, "[|,]"), lambda x: F.trim(x)), lambda c: c != "")
     return F.when(F.exists(parts, lambda c: ~generic_tag(c)), s)
 
 

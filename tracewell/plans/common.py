@@ -42,7 +42,7 @@ class Registry:
         def run(spark: SparkSession, d: str) -> DataFrame:
             inputs = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(rows)], f"nr long, {schema}")
             events = table(spark, d, "events").select("event_id", F.pmod("event_id", F.lit(len(rows))).alias("nr"))
-            columns = [F.col(c.strip().split(" ")[0]) for c in schema.split(",")]
+            columns = [F.col(c) for c in inputs.columns[1:]]
             return events.join(inputs, "nr").select("event_id", value(*columns).alias("value"))
 
         answers = ", ".join(f"({i}, {literal(r[-1])})" for i, r in enumerate(rows))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import casebook, causes, codegraph, ingest, investigation, observability, recall, rulebook, searching
+from . import casebook, causes, codegraph, ingest, investigation, observability, recall, rulebook, searching, sources
 
-_MODULES = [observability, codegraph, searching, investigation, ingest, rulebook, recall, casebook, causes]
+_MODULES = [observability, codegraph, searching, investigation, ingest, rulebook, recall, casebook, causes, sources]
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.query.queries.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.query.oracles.items()}
 
