@@ -141,7 +141,8 @@ def read_only(sql: Column) -> Column:
 
 
 def is_read_only(sql: str) -> bool:
-    """read_only() for a statement at hand, such as one before it goes to spark.sql."""
+    """read_only() for a statement at hand, such as one before it goes to spark.sql; words in string literals do not count."""
+    sql = re.sub(r"'(?:[^']|'')*'", "''", sql)
     bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip()
     body = re.sub(r"[;]+\s*$", "", bare)
     return ";" not in body and not re.search(rf"\b(?:{SQL_WRITES})\b", bare, re.I) and re.match(r"[(]*\s*(?:select|with)(?:\s|$)", body, re.I) is not None
