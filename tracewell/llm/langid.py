@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import among_lowest, materialise, table
 
 #: Documents of each language that the network learns from at most, and bytes of each of them.
 TRAIN_DOCS, TRAIN_BYTES = 300, 768
@@ -187,8 +187,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.filter((_bucket("id") != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     h = F.xxhash64("text").alias("h")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    # Spark cuts a row_number like this one before the shuffle too, so no task gets all hashes of a language.
-    least = rows.select("lang", h).distinct().withColumn("n", place).filter(F.col("n") <= train_docs)
+    hashes = materialise(rows.select("lang", h).distinct())
+    many = materialise(hashes.groupBy("lang").agg(F.count("*").alias("many")))
+    low = hashes.join(many, "lang").filter(among_lowest(F.col("h"), F.col("many"), train_docs))
+    least = low.select("lang", "h", place.alias("n")).filter(F.col("n") <= train_docs)
     ends = materialise(least.groupBy("lang").agg(F.max("h").alias("end")))
     near = rows.join(ends, "lang").filter(F.xxhash64("text") <= F.col("end")).select("lang", h, "text").distinct()
     near = near.mapInArrow(_drawn(train_bytes), "lang string, h long, part binary")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import among_lowest, materialise, table
 
 #: Documents that the scorer is fitted on, at most; hashed dimensions.
 TRAIN_DOCS, DIMENSIONS = 3000, 4096
@@ -165,7 +165,9 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
     label = dict(zip(patterns, probable.tolist(), strict=True))
     # The train_docs smallest hashes of distinct texts, however often a text is repeated; only then the texts.
     h = F.xxhash64("text")
-    least = texts.select(h.alias("h")).distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    hashes = materialise(texts.select(h.alias("h")).distinct())
+    low = hashes.filter(among_lowest(F.col("h"), F.lit(hashes.count()), train_docs))
+    least = low.orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
     near = texts.filter(h <= least).select(h.alias("h"), "text").distinct()
     rows = near.mapInArrow(_featured, "h long, votes string, at binary, value binary").orderBy("h", "at", "value").limit(train_docs).collect()
     x, p = np.zeros((len(rows), DIMENSIONS), np.float32), np.zeros(len(rows))

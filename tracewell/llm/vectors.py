@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialise, table
+from .common import among_lowest, connected_components, materialise, table
 from .simhash import _union
 
 #: Vectors that centres and codebooks are fitted on, at most; subspaces and codes of each; members
@@ -214,10 +214,11 @@ def _label_text(label: Column, kind: T.DataType) -> Column:
     return label.cast("string")
 
 
-def _fit_index(classes: DataFrame, dim: int, sample: int, lists: int) -> Index:
-    """An index on the vectors of length dim with the smallest hashes, at most `sample` of them."""
+def _fit_index(classes: DataFrame, dim: int, n: int, sample: int, lists: int) -> Index:
+    """An index on the n vectors of length dim with the smallest hashes, at most `sample` of them."""
     mine, h = classes.filter(F.size("v") == dim), F.xxhash64("v").alias("h")
-    end = mine.select(h).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    low = mine.select(h).filter(among_lowest(F.col("h"), F.lit(n), sample))
+    end = low.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     drawn = mine.filter(F.xxhash64("v") <= end).select("v", h, "space").orderBy("h", "space").limit(sample)
     fitted = drawn.select("v").toArrow()["v"].combine_chunks()
     x = _matrix(fitted.combine_chunks() if isinstance(fitted, pa.ChunkedArray) else fitted)
@@ -251,7 +252,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, lists: int | None = N
     if not sizes:
         return named(rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")))
     total = sum(sizes.values())
-    indexes = {d: _fit_index(classes, d, max(1, sample * n // total), lists or max(8, int(np.sqrt(n) / 16))) for d, n in sizes.items()}
+    indexes = {d: _fit_index(classes, d, n, max(1, sample * n // total), lists or max(8, int(np.sqrt(n) / 16))) for d, n in sizes.items()}
     kind = "f4" if single else "f8"
     spread = classes.select("space", "cls", "size", "v").mapInArrow(_assign(indexes, radius, kind), ROW)
     spread = materialise(spread)
