@@ -31,10 +31,11 @@ def chunk_pattern(least: int = 256, most: int = 4096, latin: bool = True) -> str
     """A chunk ends at a blank whose neighbours fall into fixed residue classes (about one blank in
     32), after `least` characters at the earliest; in texts beyond Latin-1, whose classes are larger
     and slower to match, also after a mark that ends sentences. A text without such a place is cut every `most`."""
-    edge = f"(?<=\\x20)(?<={_residues(4, 1)}.)(?={_residues(8, 3)})"
+    edge = f"(?<=\\x20)(?={_residues(8, 3)})(?<={_residues(4, 1)}\\x20)"
     if not latin:
         edge = f"(?<=\\x20)(?<=[{_residues(4, 1)}{_rows(4, 1)}].)(?=[{_residues(8, 3)}{_rows(8, 3)}])|(?<=[{MARKS}])"
-    return f"(?s).{{{least},{most - 1}}}?(?:{edge})|.{{1,{most}}}"
+        edge = f"(?:{edge})"
+    return f"(?s).{{{least},{most - 1}}}?{edge}|.{{1,{most}}}"
 
 
 def _cut(latin: bool) -> Column:
@@ -61,8 +62,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     makes chunk hashes collide, and the exact path for collisions answers.
     """
     h = lambda c: F.shiftright(F.xxhash64(c), 64 - hash_bits) if hash_bits < 64 else F.xxhash64(c)
+    beyond = (F.octet_length("t") > F.length("t")) & F.col("t").rlike(r"[^\x00-\xff]")
     cut = normalised(docs, F.col(text_col), F.col(id_col).cast("long").alias("id")).select(
-        "id", "t", F.when(F.col("t").rlike(r"[^\x00-\xff]"), _cut(latin=False)).otherwise(_cut(latin=True)).alias("chunks")
+        "id", "t", F.when(beyond, _cut(latin=False)).otherwise(_cut(latin=True)).alias("chunks")
     )
     recipes = materialise(
         cut.select("id", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"), F.transform("chunks", h).alias("recipe"))
