@@ -33,9 +33,11 @@ def kinds_changed(files: DataFrame, path: str = "path") -> DataFrame:
     return files.agg(n("product", "vendored", "example").alias("runtime"), n("test").alias("test"), n("docs").alias("docs"), n("config").alias("config"))
 
 
-def within_budget(commits: DataFrame, budget: int, most: int) -> DataFrame:
-    """The first commits by place whose sizes stay within the budget, `most` at most; a repository's change set is one ordered list."""
-    order = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+def within_budget(commits: DataFrame, budget: int, most: int, repo: str | None = None) -> DataFrame:
+    """The first commits by place whose sizes stay within the budget, `most` at most, of each repository where one is named;
+    what lies behind the first `most` never reaches the sum."""
+    commits = commits.filter(F.col("place") <= most)
+    order = Window.partitionBy(repo if repo else F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     return commits.withColumn("running", F.sum("size").over(order)).filter((F.col("running") <= budget) & (F.col("place") <= most))
 
 
@@ -79,13 +81,10 @@ def per_segment(queues: DataFrame, column: str = "queue") -> DataFrame:
     return rows.groupBy("base").agg(F.countDistinct("segment").alias("segments")).filter("segments >= 2")
 
 
-def grade(score: Column) -> Column:
-    return F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
-
-
-def health(dead: Column, coupling: Column, modularity: Column, confidence: Column, coverage: Column) -> Column:
-    """A weighted composite of five shares (25, 20, 20, 20, 15), halves to even."""
-    return F.bround(25 * (1 - dead) + 20 * (1 - coupling) + 20 * modularity + 20 * confidence + 15 * coverage, 0)
+def queue_sides(edges: DataFrame) -> DataFrame:
+    """(queue, producers, workers) of edges (queue, producer, worker): the distinct ends of each side."""
+    side = lambda c: F.array_sort(F.collect_set(c))
+    return edges.groupBy("queue").agg(side("producer").alias("producers"), side("worker").alias("workers"))
 
 
 def recall_quality(cases: DataFrame) -> DataFrame:

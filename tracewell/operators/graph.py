@@ -85,7 +85,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, rels: tuple[str, ...]
     return seen.filter(F.col("id") == end).select(F.posexplode("path").alias("step", "id"))
 
 
-def components(edges: DataFrame, rel: str = "calls", most: int = 200) -> DataFrame:
+def components(edges: DataFrame, rel: str = "calls") -> DataFrame:
     """(id, component): strongly connected components of two nodes or more, named by their largest id.
 
     Colouring: every node takes the largest id that reaches it; nodes of one colour that reach the
@@ -94,7 +94,7 @@ def components(edges: DataFrame, rel: str = "calls", most: int = 200) -> DataFra
     """
     left = cut_lineage(edges.filter(F.col("rel") == rel).select("source", "target").filter("source <> target").distinct())
     found: list[DataFrame] = []
-    for _ in range(most):
+    while True:
         while True:
             kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
             kept = cut_lineage(kept.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))

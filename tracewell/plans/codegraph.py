@@ -146,10 +146,10 @@ def type_semi(spark: SparkSession, d: str) -> DataFrame:
     return graph.used(table(spark, d, "part"), late, "p_partkey").select("p_partkey", "p_name")
 
 
-@query("join_interval", """WITH s AS (SELECT l_orderkey AS id, l_partkey AS key, CAST(l_quantity AS INTEGER) AS start, CAST(l_quantity AS INTEGER) + l_linenumber AS stop FROM lineitem WHERE l_linenumber = 1)
+@query("join_interval", """WITH s AS (SELECT l_orderkey || ':' || l_linenumber AS id, l_partkey AS key, CAST(l_quantity AS INTEGER) AS start, CAST(l_quantity AS INTEGER) + l_linenumber AS stop FROM lineitem)
 SELECT id, key, start, stop, lo, hi FROM s JOIN (SELECT p_partkey AS key, p_size AS lo, p_size + 3 AS hi FROM part) USING (key) WHERE start <= hi AND stop >= lo""")
 def interval(spark: SparkSession, d: str) -> DataFrame:
-    spans = table(spark, d, "lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey AS id", "l_partkey AS key", "CAST(l_quantity AS INT) AS start", "CAST(l_quantity AS INT) + l_linenumber AS stop")
+    spans = table(spark, d, "lineitem").selectExpr("l_orderkey || ':' || l_linenumber AS id", "l_partkey AS key", "CAST(l_quantity AS INT) AS start", "CAST(l_quantity AS INT) + l_linenumber AS stop")
     return graph.overlapping(spans, table(spark, d, "part").selectExpr("p_partkey AS key", "p_size AS lo", "p_size + 3 AS hi"), "key").select("id", "key", "start", "stop", "lo", "hi")
 
 

@@ -127,26 +127,16 @@ def set_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", text.jaccard(F.col("k"), F.col("k2")).alias("overlap"))
 
 
-@query("sc_quality", "SELECT p_partkey AS id, CASE WHEN s >= 85 THEN 'A' WHEN s >= 70 THEN 'B' WHEN s >= 55 THEN 'C' WHEN s >= 40 THEN 'D' ELSE 'F' END AS grade FROM (SELECT p_partkey, p_size * 2 AS s FROM part)")
-def quality(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), changes.grade(F.col("p_size") * 2).alias("grade"))
-
-
 @query("sc_recall_quality", "SELECT avg(CASE WHEN vec_id % 10 < 9 THEN 1.0 ELSE 0 END) FILTER (label <> 0) AS hit_rate, avg(CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0 END) FILTER (label = 0) AS no_match_rate, false AS passes FROM embeddings")
 def recall_quality(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "embeddings").selectExpr("vec_id AS id", "IF(label = 0, NULL, label) AS expected", "CASE WHEN label = 0 THEN IF(vec_id % 2 = 0, CAST(array() AS array<int>), array(1)) WHEN vec_id % 10 < 9 THEN array(99, label) ELSE array(97, 98, 99, label) END AS found")
     return changes.recall_quality(cases)
 
 
-@query("agg_health", "SELECT CAST(round_even(25 * (1 - 0.1) + 20 * (1 - a) + 20 * 0.5 + 20 * 0.8 + 15 * 0.9, 0) AS DOUBLE) AS health FROM (SELECT avg(l_discount) AS a FROM lineitem)")
-def health(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "lineitem").agg(F.avg("l_discount").alias("a"))
-    return one.select(changes.health(F.lit(0.1), F.col("a"), F.lit(0.5), F.lit(0.8), F.lit(0.9)).alias("health"))
-
-
-@query("agg_async_bound", "SELECT s_nationkey AS queue, list_sort(list(DISTINCT s_suppkey)) AS producers FROM supplier GROUP BY 1")
+@query("agg_async_bound", "SELECT o_orderpriority AS queue, list_sort(list(DISTINCT o_custkey)) AS producers, list_sort(list(DISTINCT 'w' || o_orderstatus) FILTER (o_orderstatus <> 'P')) AS workers FROM orders GROUP BY 1")
 def async_bound(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("queue")).agg(F.array_sort(F.collect_set("s_suppkey")).alias("producers"))
+    edges = table(spark, d, "orders").selectExpr("o_orderpriority AS queue", "o_custkey AS producer", "IF(o_orderstatus = 'P', NULL, 'w' || o_orderstatus) AS worker")
+    return changes.queue_sides(edges)
 
 
 @query("agg_distinct_callables", f"WITH {codegraph._E}, {codegraph._N} SELECT count(DISTINCT source) AS n FROM e JOIN n ON id = source WHERE rel = 'calls' AND label = 'function'")

@@ -148,10 +148,10 @@ def review_risk(spark: SparkSession, d: str) -> DataFrame:
     return flows.review_risk(changes, codegraph.edges(spark, d), codegraph._ids(spark, "p7", "p31", "p32", "p64"), coupled, codegraph.nodes(spark, d))
 
 
-@query("gr_test_impact", f"WITH RECURSIVE {codegraph._E}, {codegraph._N}, r(id, depth) AS (SELECT 'p1', 0 UNION SELECT source, depth + 1 FROM r JOIN e ON target = id WHERE depth < 2 AND rel = 'calls'), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1) SELECT id, depth, depth <= 2 AS direct FROM m WHERE depth > 0 AND id LIKE 's%'")
+@query("gr_test_impact", f"WITH RECURSIVE {codegraph._E}, {codegraph._N}, r(id, depth) AS (SELECT 'p1', 0 UNION SELECT source, depth + 1 FROM r JOIN e ON target = id WHERE depth < 4 AND rel = 'calls'), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1) SELECT id, depth, depth <= 2 AS direct FROM m WHERE depth > 0 AND id LIKE 's%'")
 def test_impact(spark: SparkSession, d: str) -> DataFrame:
     nodes = codegraph.nodes(spark, d).selectExpr("id", "IF(id LIKE 's%', 'tests/a.py', 'src/a.py') AS path")
-    return flows.tests_of(codegraph.edges(spark, d), nodes, codegraph._ids(spark, "p1"), 2)
+    return flows.tests_of(codegraph.edges(spark, d), nodes, codegraph._ids(spark, "p1"))
 
 
 @query("ml_labels", "SELECT project, resolved, count(*) AS n FROM (" + "WITH " + investigation._V + " SELECT * FROM c) GROUP BY 1, 2")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that loops keep short plans and lost executors cost
-    no recomputation. The folder is the cluster's spark.checkpoint.dir; a temporary one only where
-    none is set, as in tests."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: the cluster's spark.checkpoint.dir, or what the context has. Where
+    neither is set, a session in one process (tests) gets a temporary folder, and a cluster an error."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="tracewell-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that loops keep short plans and lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -72,17 +72,18 @@ def top_frame(frames: Column) -> Column:
     return F.concat_ws(":", best["filename"], best["lineno"].cast("string"))
 
 
-def git_log(lines: DataFrame) -> DataFrame:
+def git_log(lines: DataFrame, repo: str | None = None) -> DataFrame:
     """(seq, line) of a log whose commits start with `commit|hash|author|date|title` and go on with
-    file names -> (hash, author, at, title, files). One repository's log is one ordered text, which
-    a single window orders."""
-    order = Window.orderBy("seq")
+    file names -> (hash, author, at, title, files). repo: a column that keeps logs
+    of several repositories apart; one repository's log is one ordered text."""
+    by = [repo] if repo else []
+    order = Window.partitionBy(*by).orderBy("seq") if repo else Window.partitionBy(F.lit(0)).orderBy("seq")
     head = F.col("line").startswith("commit|")
     rows = lines.withColumn("block", F.sum(head.cast("int")).over(order)).filter("block > 0 AND line <> ''")
     parts = F.split(F.max(F.when(head, F.col("line"))), r"\|", 5)
     files = F.transform(F.sort_array(F.collect_list(F.when(~head, F.struct("seq", "line")))), lambda x: x["line"])
-    out = rows.groupBy("block").agg(parts.alias("p"), files.alias("files"))
-    return out.select(F.get("p", F.lit(1)).alias("hash"), F.get("p", F.lit(2)).alias("author"), F.get("p", F.lit(3)).try_cast("timestamp_ntz").alias("at"), F.get("p", F.lit(4)).alias("title"), "files")
+    out = rows.groupBy(*by, "block").agg(parts.alias("p"), files.alias("files"))
+    return out.select(*by, F.get("p", F.lit(1)).alias("hash"), F.get("p", F.lit(2)).alias("author"), F.get("p", F.lit(3)).try_cast("timestamp_ntz").alias("at"), F.get("p", F.lit(4)).alias("title"), "files")
 
 
 def log_documents(rows: DataFrame, column: str = "body") -> DataFrame:

@@ -14,9 +14,10 @@ def upserted(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def without_files(nodes: DataFrame, edges: DataFrame, files: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Nodes outside the files, and edges without an end in them."""
+    """Nodes outside the files, and the edges that do not begin in them: those that come in from other files wait
+    there until the files' nodes are written again."""
     gone = nodes.filter(F.col("file").isin(files)).select("id")
-    edges = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+    edges = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti")
     return nodes.filter(~F.col("file").isin(files)), edges
 
 
@@ -30,5 +31,10 @@ def json_lines(rows: DataFrame, key: str) -> DataFrame:
     return rows.orderBy(key).select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
 
 
+def save_report(rows: DataFrame, path: str) -> None:
+    """Writes rows by investigation (inv): those of the rows' investigations replace older ones, others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("inv").parquet(path)
+
+
 def replace_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
