@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, evidence
-from ..session import table
+from ..session import cut_lineage, table
 from ..streaming import episodes
 from . import observability as obs
 from .common import Registry
@@ -152,8 +152,9 @@ cap AS (SELECT CASE WHEN s < 0.2 THEN 0.6 WHEN s < 0.5 THEN 0.6 + (s - 0.2) / 0.
 SELECT id, score, {_BAND} AS band, least(0.5 * confidence + 0.5, c, 0.88) AS overall FROM top, conf, cap""")
 def investigate(spark: SparkSession, d: str) -> DataFrame:
     """The best causes with the overall confidence: half evidence, half a seed found, under the
-    ceilings of the best cause and of missing dimensions. Evidence is read by several consumers, so it is kept."""
-    ev = gather(spark, d).cache()
+    ceilings of the best cause and of missing dimensions. Evidence is small and read by several consumers, so it
+    is written once, in one part."""
+    ev = cut_lineage(gather(spark, d).repartition(1))
     top = _ranked(ev, 3).select("id", "score", "band")
     ceiling = evidence.gaps(ev).agg(F.coalesce(F.max("ceiling"), F.lit(1.0)).alias("gap_ceiling"))
     caps = top.agg(evidence.cause_ceiling(F.max("score")).alias("cause_ceiling"))
