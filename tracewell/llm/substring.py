@@ -164,7 +164,8 @@ def _send(k: int, m: int, buckets: int):
         ask[at] = ~known[at]
         s, e = _runs(known)
         if s.size:
-            yield pack(int(s[0] % buckets), None, doc=doc[of[s]], tag=tag[of[s]], at=s - first[of[s]], n=e - s)
+            any_bucket = int(_mix(doc[:1].view(np.uint64) + np.uint64(s.size))[0] % np.uint64(buckets))  # these need no company
+            yield pack(any_bucket, None, doc=doc[of[s]], tag=tag[of[s]], at=s - first[of[s]], n=e - s)
         least = _least(_rolled(words.hash, m), k - m + 1)
         cut = (least[1:] != least[:-1]) | (of[1:n] != of[: n - 1]) | (ask[1:] != ask[:-1])
         begin = np.r_[0, np.flatnonzero(cut) + 1]
