@@ -510,16 +510,6 @@ def test_similar_documents_in_blocks(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
-def test_chunks_of_other_scripts_follow_their_content(spark):
-    r = random.Random(5)
-    for letters, gap in (("абвгдежзиклмнопрстуфхцчшщыэюя", " "), ("的一是在不了有和人这中大为上个国我以要他", "。")):
-        words = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(3000)]
-        text = gap.join(words)
-        df = spark.createDataFrame([(text,), (letters + gap + text,)], "t string").select(exact_dedup._cut(latin=False).alias("c"))
-        a, b = (set(x.c) for x in df.collect())
-        assert len(a) > 10 and len(a & b) > 0.6 * len(a)
-
-
 def loose_cases():
     """(text, spans) with personal data in loose forms, and texts that only look like it, worded unlike the training examples."""
     r = random.Random(99)
