@@ -107,6 +107,6 @@ def startup_recall(pool: DataFrame, asked: dict[str, str], query: list[str], now
     for f in ("environment", "service", "fingerprint", "error_code", "workflow", "operation"):
         fit = fit & ~differs(f)
     found = rows.filter(fit).select("id", F.coalesce("incident", F.lower("claim")).alias("key"), same.alias("fields"), score.alias("hint"), matched.alias("matched"))
-    found = found.filter((F.size("fields") > 0) | F.col("matched")).select("id", "key", "fields", (F.size("fields") + F.col("hint")).alias("relevance"))
+    found = found.filter((F.size("fields") > 0) | F.col("matched")).select("id", "key", "fields", F.round(F.size("fields") + F.col("hint"), 9).alias("relevance"))  # sums of one set of terms are ties, whatever their order
     first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("relevance"), "id"))
     return found.withColumn("r", first).filter("r = 1").orderBy(F.desc("relevance"), "id").limit(most).select("id", "fields", "relevance")

@@ -70,7 +70,7 @@ e AS (SELECT id, h, sum(w) AS own, coalesce(sum(w) FILTER (t IN (SELECT t FROM q
 s AS (SELECT id, coalesce(max(CASE WHEN k >= 2 THEN 2 * b / (own + total) END), 0) AS score, bool_or(rare) AS rare FROM e, qs GROUP BY 1),
 m AS (SELECT p.id, coalesce(incident, lower(claim)) AS key, list_filter([CASE WHEN error_code = 'E1' THEN 'error_code' END, CASE WHEN workflow = 'pay' THEN 'workflow' END], lambda z: z IS NOT NULL) AS fields, score, rare FROM p JOIN s USING (id)
  WHERE status = 'active' AND created_at <= TIMESTAMP '2001-06-01' AND seen_at IS NULL AND coalesce(environment, 'prod') = 'prod' AND coalesce(error_code, 'E1') = 'E1'),
-r AS (SELECT id, fields, len(fields) + score AS relevance, row_number() OVER (PARTITION BY key ORDER BY len(fields) + score DESC, id) AS r FROM m WHERE len(fields) > 0 OR rare OR score >= 0.45) SELECT id, fields, relevance FROM r WHERE r = 1 ORDER BY relevance DESC, id LIMIT 3""")
+r AS (SELECT id, fields, round(len(fields) + score, 9) AS relevance, row_number() OVER (PARTITION BY key ORDER BY round(len(fields) + score, 9) DESC, id) AS r FROM m WHERE len(fields) > 0 OR rare OR score >= 0.45) SELECT id, fields, relevance FROM r WHERE r = 1 ORDER BY relevance DESC, id LIMIT 3""")
 def startup_recall(spark: SparkSession, d: str) -> DataFrame:
     pool = table(spark, d, "orders").selectExpr(
         "o_orderkey AS id", "IF(o_orderkey % 4 > 0, 'i' || o_custkey, NULL) AS incident", "'Claim ' || o_custkey AS claim", "IF(o_orderkey % 9 = 0, 'rejected', 'active') AS status", "o_orderdate AS created_at", "IF(o_orderkey % 13 = 0, TIMESTAMP_NTZ '2030-01-01', NULL) AS seen_at", "CAST(NULL AS TIMESTAMP_NTZ) AS verified_at",
