@@ -102,7 +102,7 @@ def timeline_owner(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg_what_changed", "SELECT count(*) FILTER (k NOT IN (0, 1, 2)) AS runtime, count(*) FILTER (k = 0) AS test, count(*) FILTER (k = 1) AS docs, count(*) FILTER (k = 2) AS config FROM (SELECT page_id % 5 AS k FROM pages)")
 def what_changed(spark: SparkSession, d: str) -> DataFrame:
-    return changes.kinds_changed(table(spark, d, "pages").selectExpr("CASE page_id % 5 WHEN 0 THEN 'tests/x.py' WHEN 1 THEN 'readme.md' WHEN 2 THEN 'app.yaml' WHEN 3 THEN 'vendor/x.c' ELSE 'src/x.py' END AS path"))
+    return changes.kinds_changed(table(spark, d, "pages").selectExpr("CASE page_id % 5 WHEN 0 THEN 'tests/x.py' WHEN 1 THEN 'readme.md' WHEN 2 THEN 'package.json' WHEN 3 THEN 'vendor/x.c' ELSE 'src/x.py' END AS path"))
 
 
 @query("x_git_bounded", "SELECT * FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place, o_totalprice AS size, sum(o_totalprice) OVER (ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS running FROM orders) WHERE running <= 5000000 AND place <= 200")
