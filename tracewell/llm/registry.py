@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, pii, quality, simhash, substring, url_filter, vectors
+from . import bpe, exact_dedup, infill, langid, mixing, pii, quality, simhash, substring, url_filter, vectors
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_simhash": simhash.op5_simhash,
+    "op11_infill": infill.op11_infill,
 }
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
+    "op11_infill": infill.ORACLE,
 }
