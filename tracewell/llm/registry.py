@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, infill, langid, mixing, pii, quality, simhash, substring, url_filter, vectors
+from . import bpe, codes, exact_dedup, infill, langid, mixing, pii, quality, simhash, substring, url_filter, vectors
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_simhash": simhash.op5_simhash,
     "op11_infill": infill.op11_infill,
+    "op12_codes": codes.op12_codes,
 }
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op11_infill": infill.ORACLE,
+    "op12_codes": codes.ORACLE,
 }
