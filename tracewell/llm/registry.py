@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, exact_dedup, infill, langid, mixing, pii, quality, simhash, substring, url_filter, vectors
+from . import bpe, codes, exact_dedup, infill, langid, mixing, pii, quality, simhash, substring, url_filter, vectors, winnow
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op11_infill": infill.op11_infill,
     "op12_codes": codes.op12_codes,
+    "op13_decontaminate": winnow.op13_decontaminate,
 }
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_url_filter": url_filter.ORACLE,
     "op11_infill": infill.ORACLE,
     "op12_codes": codes.ORACLE,
+    "op13_decontaminate": winnow.ORACLE,
 }
