@@ -86,10 +86,10 @@ def cause_chains(explained: DataFrame, evidence: DataFrame, nodes: DataFrame) ->
     rows = rows.filter(F.col("keep") | (F.size("ids") > 0))
     # Nodes by type, at most one row a type and investigation, beside the one of a queue's own name.
     best = nodes.groupBy("inv", "type").agg(F.min("node").alias("any"), F.min(F.when(F.col("implicated"), F.col("node"))).alias("hit"))
-    named = nodes.filter("type = 'queue'").select("inv", F.col("node").alias("own")).distinct()
+    named = nodes.filter("type = 'queue'").select("inv", F.expr("substring(node, 7)").alias("queue"), F.col("node").alias("own")).distinct()
     sought = rows.select("inv", "id", "template", "slot", "queue").join(places, ["template", "slot"])
     sought = sought.withColumn("real", F.when(F.col("type") == "own", "queue").otherwise(F.col("type"))).join(best.withColumnRenamed("type", "real"), ["inv", "real"], "left")
-    sought = sought.join(named, (sought["inv"] == named["inv"]) & (F.concat(F.lit("queue:"), F.col("queue")) == F.col("own")), "left").drop(named["inv"])
+    sought = sought.join(named, ["inv", "queue"], "left")
     found = F.when((F.col("type") == "own") & F.col("queue").isNotNull(), F.col("own")).when(F.col("must"), F.col("hit")).otherwise(F.col("any"))
     node = sought.withColumn("node", found).filter("node IS NOT NULL").groupBy("inv", "id", "slot").agg(F.min_by("node", "nth").alias("node"))
     chain = rows.join(node, ["inv", "id", "slot"], "left")

@@ -148,3 +148,11 @@ def cause_ceiling(score: Column) -> Column:
     """The most overall confidence that the best cause's score allows."""
     s = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
     return F.when(s < 0.2, 0.6).when(s < 0.5, 0.6 + (s - 0.2) / 0.3 * 0.18).when(s < 0.85, 0.78 + (s - 0.5) / 0.35 * 0.22).otherwise(1.0)
+
+
+def overall_confidence(confidence: Column, seed: Column, low: Column, gap_ceiling: Column, best: Column) -> Column:
+    """Half the evidence's confidence, half whether a seed was found (an unsure one counts .3), under the ceilings of missing
+    dimensions, of the best cause's score and, for an unsure seed, of .45. A null seed or score is none."""
+    half = F.when(seed.isNull(), 0.0).when(F.coalesce(low, F.lit(False)), 0.3).otherwise(1.0)
+    sure = F.when(seed.isNotNull() & F.coalesce(low, F.lit(False)), 0.45).otherwise(1.0)
+    return F.least(0.5 * confidence + 0.5 * half, gap_ceiling, cause_ceiling(F.coalesce(best, F.lit(0.0))), sure)

@@ -191,3 +191,167 @@ def _nodes(found: DataFrame) -> DataFrame:
     hit = evidence.implication(items.select("node", "relevance", "priority"), links)
     return nodes.join(hit, "node", "left").withColumn("implicated", F.coalesce("implicated", F.lit(False)))
 
+
+
+_TOP = f"""{_NEWEST}, top10 AS (SELECT row_number() OVER (ORDER BY score DESC, place, id) AS place, id, file, score FROM (
+ SELECT id, file, 5 + i % 30 AS place, CAST(2.0 * (i % 8) / 8 + CASE WHEN n_chars // 40 <= 3 THEN -3 ELSE 0 END + CASE WHEN file IN (SELECT file FROM nw) THEN 5 ELSE 0 END + 2 * CAST(contains(name || ' ' || file, 'save') AS INT) + 2 * CAST(contains(name || ' ' || file, 'm7') AS INT) AS DOUBLE) AS score FROM sy) ORDER BY score DESC, place, id LIMIT 10),
+sd AS (SELECT id AS seed_id, file AS seed_file, score AS points, CAST(split_part(id, ':', 2) AS BIGINT) AS sn FROM top10 WHERE place = 1),
+rc(id, depth) AS (SELECT seed_id, 0 FROM sd UNION SELECT source, depth + 1 FROM rc JOIN ca ON target = rc.id WHERE depth < 3)"""
+_Q = obs.query.oracles
+_XV = f"""{_NEAR.replace('@seeds', 'SELECT 1 AS inv, id, place AS r FROM top10 WHERE place <= 4').replace(', nr AS (', f', {_TOP}, nr AS (', 1)},
+pq AS (SELECT o_orderpriority AS queue, min(o_custkey) AS lo, max(o_custkey) AS hi, count(*) FILTER (o_orderstatus = 'O') AS waiting, CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE count(*) FILTER (o_orderstatus = 'P') END AS active FROM orders GROUP BY 1),
+xw AS (SELECT e.id, e.source, e.kind, e.relevance, e.ts, e.is_new, e.ratio, CASE WHEN e.kind <> 'commit' THEN e.queue END AS queue, e.service, e.category, e.priority,
+  CASE WHEN e.kind = 'log' THEN CASE WHEN l.key = 'error-' || sn % 10 THEN 'seed' WHEN l.key IN (SELECT 'error-' || t % 10 FROM ca JOIN sd x ON source = x.seed_id) THEN 'callee' WHEN starts_with(l.key, 'purchase') THEN 'hint' END ELSE coalesce(q.kind, s.kind, replace(m.anomaly, 'latency-spike', 'latency')) END AS signal,
+  coalesce(starts_with(l.key, 'error'), false) AS direct, l.level, l.message, l.key AS code, coalesce(l.n, q.n, 1) AS n, q.kind = 'worker-starvation' AS stalled, s.collection, l.services, NULL AS producer, NULL AS worker, NULL AS symbol, NULL AS file
+  FROM ev e CROSS JOIN sd LEFT JOIN ({_Q['agg_analyze_errors']}) l ON e.id = 'log:' || l.key LEFT JOIN ({_Q['sc_queue_signals']}) q ON e.id = 'queue:' || q.queue || ':' || q.kind
+  LEFT JOIN ({_Q['sc_state_signals']}) s ON e.id = concat_ws(':', 'state', s.collection, s.kind, s.status) LEFT JOIN ({_Q['win_anomaly']}) m ON e.id = 'metric:' || m.series
+ UNION ALL SELECT 'edge:' || queue, 'code', 'queue-edge', 0.6, NULL, NULL, NULL, queue, NULL, 'code', 'info', NULL, false, NULL, NULL, NULL, 1, NULL, NULL, NULL, 'customer:' || lo, 'customer:' || hi, NULL, NULL FROM pq
+ UNION ALL SELECT 'symbol:' || seed_id, 'code', 'symbol', 0.7, NULL, NULL, NULL, NULL, NULL, 'code', 'info', NULL, false, NULL, NULL, NULL, 1, NULL, NULL, NULL, NULL, NULL, seed_id, seed_file FROM sd
+ UNION ALL SELECT 'impact:' || seed_id, 'code', 'impact', 0.6, NULL, NULL, NULL, NULL, NULL, 'code', 'info', NULL, false, NULL, NULL, NULL, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sd),
+xv AS MATERIALIZED (SELECT * FROM xw),
+rf AS (SELECT min(o_orderkey % 20 + 1) AS focus, coalesce(bool_and(o_orderpriority LIKE '4%'), false) AS maintenance FROM orders, sd WHERE {_FILE} = seed_file AND o_orderstatus <> 'P'),
+fc AS MATERIALIZED (SELECT (SELECT list_sort(list(DISTINCT queue)) FROM xv WHERE kind = 'queue-state') AS queues, 'commit:' || coalesce((SELECT o_orderkey FROM nw, sd WHERE nw.file = seed_file ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1), (SELECT o_orderkey FROM nw ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)) AS changed,
+ focus IS NOT NULL AS change_relevant, focus, maintenance, (SELECT count(DISTINCT id) - 1 FROM rc) AS affected, 'symbol:' || seed_id AS seed, 'impact:' || seed_id AS impact, (SELECT max(f.base) FROM hit) AS data_flow, least(points / 20, 1) AS seed_score, points < 1 AS low_confidence FROM sd, rf)"""
+_XV = f"WITH RECURSIVE {investigation._EV}, {_XV}"
+
+
+@query("inc_evidence", f"{_XV} SELECT *, 1 AS inv FROM xv")
+def incident_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return gather(spark, d)[0].drop("flow", "steps", "seq")
+
+
+@query("inc_facts", f"{_XV} SELECT queues, changed, change_relevant, focus, maintenance, affected, seed, impact, data_flow, seed_score, low_confidence FROM fc")
+def incident_facts(spark: SparkSession, d: str) -> DataFrame:
+    return gather(spark, d)[1].drop("inv", "source_impact", "vague", "benign")
+
+
+_ids = lambda test: f"coalesce((SELECT list_sort(list(id)) FROM xv WHERE {test}), [])"
+_SLOW_METRIC = "kind = 'metric' AND signal IN ('latency', 'error-rate-change')"
+_HY = f"""h0 AS (
+ SELECT 'deployment-regression' AS id, 'deployment-regression' AS category, NULL AS queue, 0 AS seq, CASE WHEN len(x) = 0 OR NOT change_relevant THEN 0.15 WHEN focus > 14 THEN 0.25 ELSE 0.5 END AS prior, CASE WHEN change_relevant AND coalesce(focus, 0) <= 14 THEN x ELSE [] END AS supports, [] AS contradicts FROM (SELECT *, {_ids("kind = 'commit'")} AS x FROM fc)
+ UNION ALL SELECT 'queue-backlog:' || q, 'queue-backlog', q, 1, CASE WHEN len(x) > 0 THEN 0.7 ELSE 0.35 END, x, [] FROM (SELECT q, {_ids("queue = q AND kind = 'queue-state' AND signal = 'backlog'")} AS x FROM (SELECT unnest(queues) AS q FROM fc))
+ UNION ALL SELECT 'worker-slowdown:' || q, 'worker-slowdown', q, 2, CASE WHEN len(x) > 0 THEN 0.55 ELSE 0.3 END, x, [] FROM (SELECT q, {_ids("queue = q AND (kind = 'queue-state' AND signal = 'worker-starvation' OR kind = 'metric' AND signal = 'queue-growth')")} AS x FROM (SELECT unnest(queues) AS q FROM fc))
+ UNION ALL SELECT 'external-api-latency', 'external-api-latency', NULL, 3, CASE WHEN len(x) > 0 THEN 0.55 ELSE 0.2 END, x, [] FROM (SELECT {_ids(_SLOW_METRIC)} AS x)
+ UNION ALL SELECT 'retry-storm', 'retry-storm', NULL, 4, CASE WHEN len(x) > 0 THEN 0.35 ELSE 0.15 END, x, y FROM (SELECT {_ids(f"kind = 'log' AND ratio >= 2 AND direct AND regexp_matches(coalesce(message, ''), {_L(causes.RETRY)}) OR kind = 'queue-state' AND signal = 'backlog'")} AS x, {_ids("kind = 'queue-state' AND signal = 'worker-starvation'")} AS y)
+ UNION ALL SELECT 'infrastructure', 'infrastructure', NULL, 5, CASE WHEN len(x) > 0 THEN 0.35 ELSE 0.15 END, x, [] FROM (SELECT {_ids(f"kind = 'state' AND coalesce(signal, '') NOT IN ('stale', 'legacy') OR kind = 'queue-state' AND signal = 'worker-starvation' OR {_SLOW_METRIC}")} AS x)),
+h1 AS (SELECT *, len(supports) AS supporting, len(contradicts) AS contradicting, least(greatest(prior + 0.15 * (1 - pow(0.6, len(supports))) / 0.4 - 0.3 * len(contradicts), 0), 1) AS r, CASE WHEN len(contradicts) = 0 AND len(supports) > 0 THEN array_to_string(supports, '|') END AS k FROM h0),
+hy AS MATERIALIZED (SELECT *, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) >= 2 THEN least(r, 0.75) ELSE r END AS confidence,
+ CASE WHEN contradicting > 0 AND r < 0.1 THEN 'eliminated' WHEN contradicting > 0 THEN 'weakened' WHEN supporting > 0 THEN 'supported' ELSE 'unconfirmed' END AS verdict FROM h1)"""
+
+
+@query("inc_hypotheses", f"{_XV}, {_HY} SELECT id, category, queue, CAST(prior AS DOUBLE) AS prior, supports, contradicts, supporting, contradicting, verdict, confidence FROM hy")
+def incident_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    """The competing explanations of the gathered evidence, judged."""
+    found, facts, _ = gather(spark, d)
+    return _explained(found, facts).select("id", "category", "queue", "prior", "supports", "contradicts", "supporting", "contradicting", "verdict", "confidence")
+
+
+_ND = """n0(id, node, type) AS (SELECT id, 'queue:' || queue, 'queue' FROM xv WHERE kind IN ('queue-edge', 'queue-state') AND queue IS NOT NULL UNION ALL SELECT id, 'service:' || producer, 'service' FROM xv WHERE producer IS NOT NULL UNION ALL SELECT id, 'worker:' || worker, 'worker' FROM xv WHERE worker IS NOT NULL
+ UNION ALL SELECT id, 'collection:' || collection, 'collection' FROM xv WHERE kind = 'state' AND collection IS NOT NULL UNION ALL SELECT id, 'deployment:' || id, 'deployment' FROM xv WHERE kind = 'commit' UNION ALL SELECT id, 'symbol:' || symbol, 'symbol' FROM xv WHERE symbol IS NOT NULL UNION ALL SELECT id, 'file:' || file, 'file' FROM xv WHERE file IS NOT NULL
+ UNION ALL SELECT id, 'service:' || unnest(services), 'service' FROM xv WHERE kind IN ('log', 'metric')),
+n1 AS (SELECT node, type, list(id) AS ids, max(CASE WHEN priority <> 'info' THEN relevance ELSE 0 END) AS own FROM n0 JOIN xv USING (id) GROUP BY 1, 2),
+ln AS (SELECT 'service:' || producer AS a, 'queue:' || queue AS b FROM xv WHERE producer IS NOT NULL UNION SELECT 'queue:' || queue, 'worker:' || worker FROM xv WHERE worker IS NOT NULL UNION SELECT 'symbol:' || symbol, 'file:' || file FROM xv WHERE symbol IS NOT NULL),
+l2 AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln),
+nd AS MATERIALIZED (SELECT node, type, ids, greatest(own, coalesce((SELECT max(o.own) * 0.7 FROM l2 JOIN n1 o ON o.node = a WHERE b = n1.node), 0)) AS score FROM n1)"""
+
+
+@query("inc_nodes", f"{_XV}, {_ND} SELECT node, type, score, score >= 0.6 AS implicated FROM nd")
+def incident_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """What the evidence hangs on, and whether it is implicated."""
+    return _nodes(gather(spark, d)[0]).filter("type <> 'evidence'").select("node", "type", "score", "implicated")
+
+
+def _step(category: str, slot: int, role: str, ids: str, keep: bool, node: str) -> str:
+    return f"SELECT id, category, confidence, {slot} AS slot, '{role}' AS role, {ids} AS ids, {node} AS node FROM kd WHERE category = '{category}'" + ("" if keep else f" AND len({ids}) > 0")
+
+
+_hit = lambda *types: "coalesce(" + ", ".join(f"(SELECT min(node) FROM nd WHERE type = '{t}' AND score >= 0.6)" for t in types) + ")"
+_any = lambda t: f"(SELECT min(node) FROM nd WHERE type = '{t}')"
+_own = "CASE WHEN queue IS NULL THEN (SELECT min(node) FROM nd WHERE type = 'queue' AND score >= 0.6) ELSE (SELECT node FROM nd WHERE node = 'queue:' || queue) END"
+_first_of = lambda a, b: f"CASE WHEN len({a}) > 0 THEN {a} ELSE {b} END"
+_STEPS = [
+    _step("deployment-regression", 0, "trigger", "commits", True, _any("deployment")), _step("deployment-regression", 1, "propagation", "code", False, _any("symbol")), _step("deployment-regression", 2, "symptom", "logs || metrics", False, _hit("service")),
+    _step("queue-backlog", 0, "trigger", "edges", True, _own), _step("queue-backlog", 1, "propagation", "states", False, _own), _step("queue-backlog", 2, "symptom", "logs || metrics", False, _hit("worker", "service")),
+    _step("worker-slowdown", 0, "trigger", _first_of("(stalled || metrics)", "states"), True, _hit("worker")), _step("worker-slowdown", 1, "propagation", "states", False, _own), _step("worker-slowdown", 2, "symptom", "logs", False, _hit("service")),
+    _step("external-api-latency", 0, "trigger", "metrics", True, _hit("service")), _step("external-api-latency", 1, "propagation", "logs", False, _hit("service")), _step("external-api-latency", 2, "symptom", "states", False, _hit("queue")),
+    _step("infrastructure", 0, "trigger", _first_of("(tables || metrics)", "states"), True, _hit("collection", "database", "queue")), _step("infrastructure", 1, "propagation", "states", False, _hit("worker", "service")), _step("infrastructure", 2, "symptom", "logs", False, _hit("service")),
+    _step("retry-storm", 0, "trigger", "logs", True, _hit("service")), _step("retry-storm", 1, "propagation", "states", False, _hit("queue")), _step("retry-storm", 2, "symptom", "metrics", False, _hit("service")),
+]
+_of = lambda test: f"[i FOR i IN supports IF i IN (SELECT id FROM xv WHERE {test})]"
+_kinds = lambda name, test: f"coalesce(list_sort(list(xv.id) FILTER ({test})), []) AS {name}"
+_CH = f"""kd AS MATERIALIZED (SELECT h.id, h.category, h.queue, h.confidence, {', '.join(_kinds(n, t) for n, t in [('commits', "kind = 'commit'"), ('code', "kind IN ('symbol', 'impact')"), ('logs', "kind = 'log'"), ('metrics', "kind = 'metric'"), ('edges', "kind = 'queue-edge'"), ('states', "kind = 'queue-state'"), ('stalled', "kind = 'queue-state' AND stalled"), ('tables', "kind = 'state'")])}
+ FROM (SELECT *, unnest(supports) AS s FROM hy WHERE verdict IN ('supported', 'weakened')) h JOIN xv ON xv.id = h.s GROUP BY 1, 2, 3, 4),
+ch AS (SELECT *, string_agg(role, ' > ') OVER (PARTITION BY id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS path FROM ({' UNION ALL '.join(_STEPS)}))"""
+
+
+@query("sc_cause_chains", f"{_XV}, {_HY}, {_ND}, {_CH} SELECT id, category, confidence, CAST(slot AS INTEGER) AS slot, role, ids, node, path FROM ch")
+def cause_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Trigger, propagation and symptom of each explanation that stands."""
+    found, facts, _ = gather(spark, d)
+    explained, nodes = (cut_lineage(x.repartition(1)) for x in (_explained(found, facts), _nodes(found)))  # some dozen rows that are read often
+    return chains.cause_chains(explained, found, nodes).drop("inv")
+
+
+_VOL = lambda rate: f"least({rate} * log10(greatest(n, 1)), 0.1)"
+_tier = "CASE WHEN level IN ('error', 'fatal', 'critical') THEN 'error' ELSE 'other' END"
+_CI = f"""jam AS (SELECT * FROM pq WHERE waiting >= 10 AND active = 0 OR waiting > 100),
+led AS (SELECT id, signal, n FROM xv WHERE signal IN ('seed', 'callee') ORDER BY signal = 'callee', n DESC, id LIMIT 1), hin AS (SELECT id, n FROM xv WHERE signal = 'hint' AND NOT EXISTS (SELECT 1 FROM led) ORDER BY n DESC, id LIMIT 1),
+ci AS MATERIALIZED (SELECT 'queue-backlog:' || q AS id, 'queue-backlog' AS category, CAST(CASE WHEN waiting >= 10 AND active = 0 THEN 0.45 ELSE 0.45 + least(waiting / 5000, 0.2) END AS DOUBLE) AS base, {_ids("kind = 'queue-state' AND queue = q")} AS ids FROM (SELECT queue AS q, waiting, active FROM jam)
+ UNION ALL SELECT 'queue-path:' || queue, 'queue-path', 0.35, [id, impact] FROM xv, fc WHERE kind = 'queue-edge'
+ UNION ALL SELECT 'deployment-regression', 'deployment-regression', (CASE WHEN change_relevant THEN CASE WHEN focus <= 4 THEN 0.45 WHEN focus <= 8 THEN 0.38 WHEN focus <= 14 THEN 0.3 ELSE 0.2 END ELSE 0.18 END + 0.05) * CASE WHEN change_relevant AND maintenance THEN 0.5 ELSE 1 END, [changed, seed] FROM fc
+ UNION ALL SELECT 'blast-radius', 'blast-radius', 0.2, [impact, seed] FROM fc WHERE affected >= 3 UNION ALL SELECT 'seed-data-flow', 'data-flow', data_flow, [seed] FROM fc WHERE data_flow IS NOT NULL
+ UNION ALL SELECT 'seed-emitted-error', 'error-correlation', 0.6 + {_VOL(0.025)} - CASE WHEN signal = 'callee' THEN 0.18 ELSE 0 END, list_append({_ids("signal IN ('seed', 'callee')")}, seed) FROM led, fc
+ UNION ALL SELECT 'hint-matched-signal', 'error-correlation', 0.6 + {_VOL(0.03)}, [id] FROM hin
+ UNION ALL SELECT 'error-correlation', 'error-correlation', 0.3, x[1:3] FROM (SELECT {_ids("kind = 'log' AND direct")} AS x) WHERE len(x) > 0
+ UNION ALL SELECT 'data-state-anomaly', 'data-state-anomaly', 0.22, x[1:3] FROM (SELECT {_ids("kind = 'state' AND signal IN ('anomaly', 'stale')")} AS x) WHERE len(x) > 0
+ UNION ALL SELECT 'metric-latency', 'external-api-latency', 0.45, x FROM (SELECT {_ids(_SLOW_METRIC)} AS x) WHERE len(x) > 0 UNION ALL SELECT 'metric-queue-growth', 'queue-backlog', 0.4, x FROM (SELECT {_ids("kind = 'metric' AND signal = 'queue-growth'")} AS x) WHERE len(x) > 0)"""
+
+
+@query("inc_causes", f"{_XV}, {_CI} SELECT id, category, base, ids FROM ci")
+def incident_causes(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate causes with base scores."""
+    found, facts, queues = gather(spark, d)
+    return causes.cause_inputs(found, queues, facts).drop("inv")
+
+
+SERVICE = "svc-3"
+_PRIOR = "p0 AS (SELECT 'symbol:function:' || doc_id AS node, count(*) AS n FROM labels WHERE toxic = 1 GROUP BY 1 UNION ALL SELECT 'file:src/m' || doc_id % 40 || '.ts', count(*) FROM labels WHERE toxic = 1 GROUP BY 1)"
+_RK = f"""x0 AS (SELECT DISTINCT ci.id AS cause, base, unnest(ids) AS eid FROM ci), n2 AS (SELECT unnest(ids) AS eid, node, type, score FROM nd),
+f0 AS (SELECT cause AS id, max(base) AS base, avg(CASE priority WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.75 WHEN 'low' THEN 0.5 END * relevance) FILTER (priority <> 'info') AS quality, count(DISTINCT source) AS sources, max((SELECT max(score) FROM n2 WHERE n2.eid = x0.eid)) AS node, max(ts) AS newest,
+ max(CASE WHEN kind = 'log' THEN CASE WHEN is_new THEN 0.05 WHEN ratio >= 3 THEN 0.03 ELSE 0 END ELSE 0 END) AS repeats, count(*) FILTER (kind NOT IN ('symbol', 'flow', 'impact', 'queue-edge')) AS plain, count(*) FILTER (relevance >= 0.85 AND kind NOT IN ('symbol', 'flow', 'impact', 'queue-edge')) AS strong,
+ avg(DISTINCT CASE source WHEN 'logs' THEN 0.9 WHEN 'queue' THEN 0.9001 WHEN 'state' THEN 0.85 WHEN 'metrics' THEN 0.8 WHEN 'history' THEN 0.6 ELSE 0.7 END) AS rely FROM x0 JOIN xv ON xv.id = x0.eid GROUP BY 1),
+f1 AS (SELECT *, date_diff('microsecond', newest, TIMESTAMP '2024-01-30') / 3.6e9 AS age, (SELECT affected FROM fc) AS blast,
+ EXISTS (SELECT 1 FROM x0 JOIN n2 USING (eid) WHERE cause = f0.id AND node = 'service:{SERVICE}' AND score >= 0.6) AS asked, (SELECT count(DISTINCT n2.node) FROM x0 JOIN n2 USING (eid) JOIN p0 ON p0.node = n2.node WHERE cause = f0.id AND n > 0) AS known FROM f0),
+f2 AS (SELECT id, base, sources, CASE WHEN quality IS NULL THEN -0.05 WHEN abs(round(quality - 0.5, 3)) < 0.01 THEN 0 ELSE round(quality - 0.5, 3) END + CASE WHEN sources >= 3 THEN 0.1 WHEN sources = 2 THEN 0.05 ELSE 0 END + coalesce(round(node * 0.1, 3), 0)
+ + round(CASE WHEN newest IS NULL OR age < -1.0 / 12 THEN 0 WHEN age <= 1 THEN 0.05 WHEN age <= 24 THEN 0.02 WHEN age <= 72 THEN 0 WHEN age <= 168 THEN -0.02 ELSE -0.05 END + repeats, 3) + CASE WHEN plain = 0 THEN -0.05 WHEN strong > 0 THEN 0.03 ELSE 0 END + CASE WHEN rely >= 0.8 THEN 0.03 WHEN rely < 0.5 THEN -0.03 ELSE 0 END
+ + CASE WHEN round(least(blast / 20, 1) * 0.05, 3) >= 0.005 THEN round(least(blast / 20, 1) * 0.05, 3) ELSE 0 END + CASE WHEN asked THEN 0.04 ELSE 0 END + round(least(known * 0.04, 0.1), 3) AS f FROM f1),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT id, category, base, least(greatest(f2.base + f, 0), CASE WHEN sources <= 1 THEN 0.84 ELSE 1 END) AS score, ids FROM f2 JOIN ci USING (id, base)))"""
+_CONF = investigation._CONF.replace("FROM ev)", "FROM xv)").replace("kind = 'commit' THEN 'structural'", "kind NOT IN ('log', 'metric', 'queue-state', 'redis-key', 'state') THEN 'structural'")
+_GAPS = "least(coalesce((SELECT greatest(0.3, 1 - sum(impact)) FROM (VALUES (0.1, 'log'), (0.1, 'metric'), (0.1, 'queue-state'), (0.08, 'state'), (0.08, 'commit'), (0.07, 'trace'), (0.05, 'owner')) v(impact, kind) WHERE kind NOT IN (SELECT kind FROM xv)), 1), (SELECT CASE WHEN s < 0.2 THEN 0.6 WHEN s < 0.5 THEN 0.6 + (s - 0.2) / 0.3 * 0.18 WHEN s < 0.85 THEN 0.78 + (s - 0.5) / 0.35 * 0.22 ELSE 1 END FROM (SELECT max(score) AS s FROM rk)))"
+
+
+@query("investigation", f"""{_XV}, {_ND}, {_CI}, {_PRIOR}, {_RK}, {_CONF},
+lk AS (SELECT id AS eid FROM xv WHERE kind = 'symbol' OR signal IN ('seed', 'callee')), hl AS (SELECT rk.id, score, place, bool_or(eid IN (SELECT eid FROM lk)) AS on_seed FROM (SELECT *, unnest(ids) AS eid FROM rk) rk GROUP BY 1, 2, 3),
+nm AS (SELECT id FROM hl WHERE score >= 0.2 ORDER BY on_seed DESC, score DESC, place LIMIT 1)
+SELECT CAST(place AS INTEGER) AS place, id, category, score, {investigation._BAND} AS band, id = (SELECT id FROM nm) AS headline, least(0.5 * confidence + 0.5 * CASE WHEN low_confidence THEN 0.3 ELSE 1 END, {_GAPS}, CASE WHEN low_confidence THEN 0.45 ELSE 1 END) AS overall FROM rk, conf, fc ORDER BY place LIMIT 8""")
+def full_investigation(spark: SparkSession, d: str) -> DataFrame:
+    """The best causes of the gathered evidence by all ten factors, which one to name, and the overall confidence."""
+    found, facts, queues = gather(spark, d)
+    inputs = causes.cause_inputs(found, queues, facts)
+    inputs = cut_lineage(inputs.repartition(1))  # some dozen rows that are read often
+    nodes = cut_lineage(_nodes(found).repartition(1))
+    prior = table(spark, d, "labels").filter("toxic = 1").select(F.explode(F.array(F.expr("'symbol:function:' || doc_id"), F.expr("'file:src/m' || doc_id % 40 || '.ts'"))).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    deltas = [("f_uncertainty", causes.uncertainty(inputs, causes.findings(found, facts))), ("f_context", causes.context(inputs, nodes, SERVICE)), ("f_history", causes.history(inputs, nodes, prior))]
+    rows = inputs.join(facts.select("inv", F.col("affected").alias("blast")), "inv")
+    for name, delta in deltas:
+        rows = rows.join(delta.select("inv", "id", F.col("delta").alias(name)), ["inv", "id"], "left").fillna(0.0, [name])
+    hung = nodes.filter("type <> 'evidence' AND score IS NOT NULL").select(F.explode("ids").alias("eid"), "score")
+    ranked = evidence.score_causes(rows.drop("inv"), found, hung, F.expr(investigation.NOW), 50).withColumn("inv", F.lit(1)).join(inputs.select("id", "ids"), "id")
+    ranked = cut_lineage(ranked.withColumn("place", F.row_number().over(Window.partitionBy("inv").orderBy(F.desc("score"), "id"))))
+    linked = found.filter("kind = 'symbol' OR signal IN ('seed', 'callee')").select("inv", F.col("id").alias("eid"))
+    named = causes.headline(ranked, linked).select(F.col("headline").alias("named"))
+    ceiling = evidence.gaps(found).agg(F.coalesce(F.max("ceiling"), F.lit(1.0)).alias("gap"))
+    one = evidence.confidence(found, F.col("relevance") <= 0.4).crossJoin(ceiling).crossJoin(ranked.agg(F.max("score").alias("best"))).crossJoin(facts.select("seed", "low_confidence")).crossJoin(named)  # one row each
+    overall = evidence.overall_confidence(F.col("confidence"), F.col("seed"), F.col("low_confidence"), F.col("gap"), F.col("best"))
+    out = ranked.filter("place <= 8").crossJoin(F.broadcast(one))
+    return out.select("place", "id", "category", "score", "band", (F.col("id") == F.col("named")).alias("headline"), overall.alias("overall"))
