@@ -133,16 +133,28 @@ def jaccard(a: Column, b: Column) -> Column:
 SQL_WRITES = "INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|REPLACE|TRUNCATE|ATTACH|DETACH|PRAGMA|VACUUM|REINDEX|MERGE|GRANT|REVOKE|SET|load_extension"
 
 
+#: What a scanner of a statement takes as one: literals and quoted names (kept as group 1), then comments. A line comment ends at
+#: either kind of line break, a block comment at its first end; dialects that read on see less than is judged here, never more.
+SQL_TOKEN = r"('[^']*'|\"[^\"]*\"|`[^`]*`)|--[^\r\n]*|/\*(?s:.*?)\*/"
+#: What is left open or quoted in ways that dialects read differently: refused.
+SQL_OPEN, SQL_DOUBT = r"['\"`]|/\*|\*/", r"\\['\"`]|\$[A-Za-z_]*\$"
+SQL_START = r"(?i)^[(]*\s*(?:SELECT|WITH)(?:\s|$)"
+
+
 def read_only(sql: Column) -> Column:
-    """Whether a text is one SELECT or WITH statement that holds no word of SQL_WRITES, comments aside."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(sql, F.lit("")), r"--[^\n]*|(?s:/\*.*?\*/)", " "), r"^\s+|\s+$", ""))
+    """Whether a text is one SELECT or WITH statement that holds no word of SQL_WRITES, comments aside. Literals and comments are told
+    apart by one scan from the left; words in literals count, and what is unclosed or quoted by escapes is refused."""
+    text = F.coalesce(sql, F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, SQL_TOKEN, "$1 "), r"^\s+|\s+$", "")
     body = F.regexp_replace(bare, r"[;]+\s*$", "")
-    return ~F.contains(body, F.lit(";")) & ~bare.rlike(rf"(?i)\b(?:{SQL_WRITES})\b") & body.rlike(r"(?i)^[(]*\s*(?:SELECT|WITH)(?:\s|$)")
+    doubt = F.regexp_replace(text, SQL_TOKEN, " ").rlike(SQL_OPEN) | text.rlike(SQL_DOUBT)
+    return ~doubt & ~F.contains(body, F.lit(";")) & ~bare.rlike(rf"(?i)\b(?:{SQL_WRITES})\b") & body.rlike(SQL_START)
 
 
 def is_read_only(sql: str) -> bool:
-    """read_only() for a statement at hand, such as one before it goes to spark.sql; words in string literals do not count."""
-    sql = re.sub(r"'(?:[^']|'')*'", "''", sql)
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip()
-    body = re.sub(r"[;]+\s*$", "", bare)
-    return ";" not in body and not re.search(rf"\b(?:{SQL_WRITES})\b", bare, re.I) and re.match(r"[(]*\s*(?:select|with)(?:\s|$)", body, re.I) is not None
+    """read_only() for a statement at hand, such as one before it goes to spark.sql, by the same scan; words in literals do not count."""
+    code = re.sub(SQL_TOKEN, lambda m: "''" if m[1] else " ", sql).strip()
+    if re.search(SQL_OPEN, code.replace("''", "")) or re.search(SQL_DOUBT, sql):
+        return False
+    body = re.sub(r"[;]+\s*$", "", code)
+    return ";" not in body and not re.search(rf"\b(?:{SQL_WRITES})\b", code, re.I) and re.match(SQL_START, body) is not None

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +43,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone at exit; the shared folder's own clean-up applies then
+        pass
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that loops keep short plans and lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read back, so that loops keep short plans and lost executors cost no recomputation.
+
+    Not checkpoint(): what that returns keeps the size that Spark had estimated for its plan, and in a loop of joins
+    these estimates multiply until planning takes longer than the work. Files are removed when the driver process ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tracewell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
