@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import causes, chains, dataflow, evidence, graph, rules
 from ..session import cut_lineage, table
+from ..streaming import watcher
 from . import investigation
 from . import observability as obs
 from .common import Registry, literal
@@ -355,3 +356,27 @@ def full_investigation(spark: SparkSession, d: str) -> DataFrame:
     overall = evidence.overall_confidence(F.col("confidence"), F.col("seed"), F.col("low_confidence"), F.col("gap"), F.col("best"))
     out = ranked.filter("place <= 8").crossJoin(F.broadcast(one))
     return out.select("place", "id", "category", "score", "band", (F.col("id") == F.col("named")).alias("headline"), overall.alias("overall"))
+
+
+#: Events as incident events: users are families, purchases the word of a worker, sign-ups resolutions; polls bring 400 ids each.
+_WATCHED = [
+    "concat('r', user_id % 3) AS route", "concat('u', user_id) AS family", "event_id", "ts AS occurred_at", "CASE WHEN user_id % 2 = 0 THEN 'elasticsearch' ELSE 'sentry' END AS source",
+    "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'resolved' ELSE 'active' END AS state", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'warn' END AS severity",
+    "CASE WHEN user_id % 3 = 0 AND event_id % 4 > 0 THEN concat('e', user_id % 7, '.', event_id % 2) END AS episode", "event_id % 11 = 0 AS required", "CAST(floor((event_id * 7919 % 10007) / 400) AS INT) AS poll",
+]
+
+
+@query("st_watch", f"""WITH RECURSIVE w AS (SELECT {', '.join(_WATCHED)} FROM events),
+e AS (SELECT *, epoch_ms(occurred_at) AS at_, row_number() OVER (PARTITION BY route, family ORDER BY poll, epoch_ms(occurred_at), CAST(event_id AS VARCHAR)) AS nr FROM w),
+s AS (SELECT route, family, 0 AS nr, 0 AS event_id, 0 AS job, CAST(NULL AS VARCHAR) AS episode, CAST(0 AS BIGINT) AS at_, CAST(NULL AS VARCHAR) AS severity, false AS resolved, CAST(NULL AS VARCHAR) AS status, false AS tried, '' AS action FROM (SELECT DISTINCT route, family FROM e)
+ UNION ALL SELECT route, family, nr, event_id, CASE WHEN opens THEN job + 1 ELSE job END, CASE WHEN opens THEN e_ep ELSE ep END, CASE WHEN done OR late THEN at_ ELSE e_at END, CASE WHEN done OR late THEN sev ELSE e_sev END, CASE WHEN done OR late THEN res ELSE shut END,
+  CASE WHEN done THEN CASE WHEN job > 0 THEN 'done' END WHEN opens THEN CASE WHEN shut AND NOT required THEN 'cancelled' ELSE 'pending' END WHEN late THEN status WHEN again OR tell THEN 'pending' ELSE status END, CASE WHEN opens THEN false WHEN done THEN job > 0 ELSE tried END,
+  CASE WHEN done THEN CASE WHEN job > 0 THEN 'done' ELSE 'ignored' END WHEN opens THEN CASE WHEN shut AND NOT required THEN 'closed' ELSE 'open' END WHEN late THEN 'late' WHEN again THEN 'reopen' WHEN tell THEN 'notify' WHEN shut THEN 'resolve' ELSE 'update' END FROM (
+  SELECT *, NOT again AND status = 'done' AND e_sev <> sev AS tell FROM (SELECT *, NOT done AND NOT late AND (job = 0 OR NOT shut AND (res AND (e_ep IS NULL OR e_ep IS DISTINCT FROM ep) OR e_ep IS NOT NULL AND e_ep IS DISTINCT FROM ep OR source = 'elasticsearch' AND e_at - at_ > 3600000)) AS opens,
+   NOT tried AND status IN ('cancelled', 'done') AND (required OR NOT shut AND res) AS again FROM (
+   SELECT e.route, e.family, e.nr, e.event_id, e.source, e.required, e.episode AS e_ep, e.at_ AS e_at, e.severity AS e_sev, e.state = 'done' AS done, e.state = 'resolved' AS shut, s.job > 0 AND e.state <> 'done' AND e.at_ < s.at_ AS late, s.job, s.episode AS ep, s.at_, s.severity AS sev, s.resolved AS res, s.status, s.tried
+   FROM s JOIN e ON e.route = s.route AND e.family = s.family AND e.nr = s.nr + 1))))
+SELECT route, family, CAST(event_id AS VARCHAR) AS event_id, CAST(job AS BIGINT) AS job, action, status, CASE WHEN job > 0 THEN resolved END AS resolved FROM s WHERE nr > 0""")
+def watched(spark: SparkSession, d: str) -> DataFrame:
+    """What each event did to its family's jobs, in the order in which polls brought them."""
+    return watcher.watch(table(spark, d, "events").selectExpr(*_WATCHED), "poll")
