@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import detail
 from ..operators import causes, chains, dataflow, evidence, graph, rules
 from ..session import cut_lineage, table
 from ..streaming import watcher
@@ -380,3 +381,22 @@ SELECT route, family, CAST(event_id AS VARCHAR) AS event_id, CAST(job AS BIGINT)
 def watched(spark: SparkSession, d: str) -> DataFrame:
     """What each event did to its family's jobs, in the order in which polls brought them."""
     return watcher.watch(table(spark, d, "events").selectExpr(*_WATCHED), "poll")
+
+
+#: Log documents made of an event's properties ({p}: k as text), and what each says: its path and text.
+_DOCS = [
+    ('{"error": {"stack_trace": "at x", "message": "bad {p}"}}', "error.message", "bad {p}"), ('{"context": {"note": "ok", "order": {"failure_reason": "no stock {p}", "failure_code": "E"}}}', "context.order.failure_reason", "no stock {p}"),
+    ('{"err": {"cause": {"name": "X", "more": {"text": "deep {p}"}}}}', "err.cause.more.text", "deep {p}"), ('{"exception": " boom {p}\\\\n at line 2 "}', "exception", "boom {p}"), ('{"error": {"code": "E1", "request_id": "{p}", "n": 7}}', None, None),
+    ('{"error": {"message": "said {p}"}, "detail": {"error_text": "other {p}", "text": "no"}}', "detail.error_text", "other {p}"), ('{"error": {"a": {"b": {"c": {"d": {"e": "too deep {p}"}}}}}}', None, None), ('{"error": {"stack": "trace", "zeta": "plain {p}", "eta": "first {p}"}}', "error.eta", "first {p}"),
+    ('{"context": {"user_error": "undefined", "reason": " {p} gone "}, "reason": "not a root"}', "context.reason", "{p} gone"), ('no json {p}', None, None), ('{"detail": {"why": {"text": "configured {p}"}}, "error": {"message": "m {p}"}}', "detail.why.text", "configured {p}"),
+]
+_by_event = lambda rows, sql: "CASE event_id % " + str(len(rows)) + " " + " ".join(f"WHEN {i} THEN {sql(r)}" for i, r in enumerate(rows)) + " END"
+_filled = lambda t: "CAST(NULL AS STRING)" if t is None else "concat('" + t.replace("{p}", f"', {{p}}, '") + "')"
+
+
+@query("prj_detail", "SELECT event_id, " + _by_event(_DOCS, lambda r: _filled(r[2]).replace("STRING", "VARCHAR")).replace("{p}", "json_extract_string(props, '$.k')") + " AS detail, " + _by_event(_DOCS, lambda r: "NULL" if r[1] is None else f"'{r[1]}'") + " AS detail_path FROM events")
+def details(spark: SparkSession, d: str) -> DataFrame:
+    """Why each log document says that something failed; its message is `said k`, and detail.why.text is configured."""
+    k = "get_json_object(props, '$.k')"
+    rows = table(spark, d, "events").selectExpr("event_id", _by_event(_DOCS, lambda r: _filled(r[0])).replace("{p}", k) + " AS body", f"concat('said ', {k}) AS message")
+    return detail.with_detail(rows, "body", F.col("message"), ("detail.none", "detail.why.text")).select("event_id", "detail", "detail_path")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.logs import LEVELS, level_label
+from ..operators.scan import running_sum
 
 RANGE_JSON = "struct<status: string, data: struct<resultType: string, result: array<struct<metric: map<string, string>, values: array<array<string>>, value: array<string>>>>>"
 
@@ -75,11 +76,14 @@ def top_frame(frames: Column) -> Column:
 def git_log(lines: DataFrame, repo: str | None = None) -> DataFrame:
     """(seq, line) of a log whose commits start with `commit|hash|author|date|title` and go on with
     file names -> (hash, author, at, title, files). repo: a column that keeps logs
-    of several repositories apart; one repository's log is one ordered text."""
+    of several repositories apart; one repository's log is one ordered text, numbered by ranges of seq."""
     by = [repo] if repo else []
-    order = Window.partitionBy(*by).orderBy("seq") if repo else Window.partitionBy(F.lit(0)).orderBy("seq")
     head = F.col("line").startswith("commit|")
-    rows = lines.withColumn("block", F.sum(head.cast("int")).over(order)).filter("block > 0 AND line <> ''")
+    if repo:
+        rows = lines.withColumn("block", F.sum(head.cast("int")).over(Window.partitionBy(repo).orderBy("seq")))
+    else:
+        rows = running_sum(lines, "seq", head.cast("int"), "block")
+    rows = rows.filter("block > 0 AND line <> ''")
     parts = F.split(F.max(F.when(head, F.col("line"))), r"\|", 5)
     files = F.transform(F.sort_array(F.collect_list(F.when(~head, F.struct("seq", "line")))), lambda x: x["line"])
     out = rows.groupBy(*by, "block").agg(parts.alias("p"), files.alias("files"))

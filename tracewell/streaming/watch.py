@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import running_sum
 from .episodes import backoff_seconds
 
 MOST_ROWS, MOST_QUEUED, MOST_ATTEMPTS, STALE_DAYS = 1000, 500, 5, 7
@@ -31,9 +32,9 @@ def bisect(seconds: DataFrame, start: int, end: int, most: int = MOST_ROWS) -> i
 def windows(seconds: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """(t, window): seconds (t, n) dealt to windows in order, each with under `most` rows where one second allows.
 
-    A running sum deals the rows; the order is over seconds, not rows, so it stays small."""
-    order = Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return seconds.select("t", F.floor((F.sum("n").over(order) - 1) / most).alias("window"))
+    A running sum over ranges of the time deals the rows."""
+    summed = running_sum(seconds.select("t", "n"), "t", F.col("n"), "upto")
+    return summed.select("t", F.floor((F.col("upto") - 1) / most).alias("window"))
 
 
 def issue_events(issues: DataFrame, now: Column) -> DataFrame:
