@@ -51,13 +51,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name for a new folder under the shared one; what is written there goes when the driver process ends."""
+    path = f"{shared_folder(spark)}/tracewell-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that loops keep short plans and lost executors cost no recomputation.
 
     Not checkpoint(): what that returns keeps the size that Spark had estimated for its plan, and in a loop of joins
     these estimates multiply until planning takes longer than the work. Files are removed when the driver process ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tracewell-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
