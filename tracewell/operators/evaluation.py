@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import reranker
+
 
 def current_verdicts(labels: DataFrame) -> DataFrame:
     """The latest row (at, id) of each investigation; rows without one stand alone."""
@@ -46,18 +47,10 @@ def standardised(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_logistic(rows: DataFrame, features: list[str], target: str, epochs: int = 400, rate: float = 0.1, l2: float = 0.001) -> tuple[list[float], float]:
-    """Weights and bias by full-batch gradient descent from zero.
-
-    One aggregate per epoch would be one pass each; the rows are verdicts by people, so distinct
-    feature rows with their counts go to the driver, which is their natural bound."""
-    got = rows.groupBy(*features, target).agg(F.count("*").alias("_n")).toPandas()
-    x, y, n = got[features].to_numpy(float), got[target].to_numpy(float), got["_n"].to_numpy(float)
-    w, b, total = np.zeros(len(features)), 0.0, n.sum()
-    for _ in range(epochs if total else 0):
-        err = (1 / (1 + np.exp(-(x @ w + b))) - y) * n
-        w -= rate * (x.T @ err / total + l2 * w)
-        b -= rate * err.sum() / total
-    return w.tolist(), float(b)
+    """Weights and bias by full-batch gradient descent from zero, summed up by the executors in each epoch (see reranker.fit)."""
+    places = F.array(*[F.lit(i) for i in range(len(features))])
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    return reranker.fit(rows.select(places.alias("places"), values.alias("values"), F.col(target).alias("_y")), len(features), "_y", epochs, rate, l2)
 
 
 def logistic_score(weights: list[float], bias: float, features: list[str]) -> Column:
