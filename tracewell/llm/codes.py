@@ -174,7 +174,7 @@ def compress(
     if not 1 <= entries <= 256 or not 1 <= parts <= 7:
         raise ValueError("entries must be 1 to 256, parts 1 to 7")
     spark = vectors.sparkSession
-    kept = _whole(vectors, scale, id_col, vector_col, label_col)
+    kept = materialise(_whole(vectors, scale, id_col, vector_col, label_col))
     distinct = materialise(_parts(kept, parts).groupBy("dim", "part", "x").agg(F.count("*").alias("weight")))
     books = _first(kept, entries, parts)
     for _ in range(rounds):
