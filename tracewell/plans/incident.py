@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import detail
 from ..operators import causes, chains, dataflow, evidence, graph, rules
 from ..session import cut_lineage, table
-from ..streaming import watcher
+from ..streaming import polling, watcher
 from . import investigation
 from . import observability as obs
 from .common import Registry, literal
@@ -400,3 +400,19 @@ def details(spark: SparkSession, d: str) -> DataFrame:
     k = "get_json_object(props, '$.k')"
     rows = table(spark, d, "events").selectExpr("event_id", _by_event(_DOCS, lambda r: _filled(r[0])).replace("{p}", k) + " AS body", f"concat('said ', {k}) AS message")
     return detail.with_detail(rows, "body", F.col("message"), ("detail.none", "detail.why.text")).select("event_id", "detail", "detail_path")
+
+
+_BEGIN, _NOW, _MOST, _SPAN = 1704067200, 1706745600, 50, 86400  # January 2024
+_SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
+
+
+@query("st_halving", f"""WITH RECURSIVE s AS (SELECT user_id % 5 AS route, {_SECONDS} AS t, count(*) AS n FROM events GROUP BY 1, 2),
+h AS (SELECT route, 0 AS poll, CAST({_BEGIN - polling.OVERLAP} AS BIGINT) AS a, CAST(least({_NOW}, {_BEGIN + _SPAN}) AS BIGINT) AS b, 0 AS halved FROM (SELECT DISTINCT route FROM s)
+ UNION ALL SELECT route, CASE WHEN n >= {_MOST} THEN poll ELSE poll + 1 END, CASE WHEN n >= {_MOST} THEN a ELSE b - {polling.OVERLAP} END, CASE WHEN n >= {_MOST} THEN (a + b) // 2 ELSE least({_NOW}, b + {_SPAN}) END, CASE WHEN n >= {_MOST} THEN halved + 1 ELSE 0 END
+ FROM (SELECT h.*, (SELECT coalesce(sum(n), 0) FROM s WHERE s.route = h.route AND t BETWEEN a AND b) AS n FROM h) WHERE n >= {_MOST} OR b < {_NOW})
+SELECT route, CAST(poll AS INTEGER) AS poll, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", CAST((SELECT coalesce(sum(n), 0) FROM s WHERE s.route = h.route AND t BETWEEN a AND b) AS BIGINT) AS n
+FROM h QUALIFY row_number() OVER (PARTITION BY route, poll ORDER BY halved DESC) = 1""")
+def halved_polls(spark: SparkSession, d: str) -> DataFrame:
+    """The polls of a month by five routes, a day ahead each and under fifty rows."""
+    seconds = table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("route"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")).agg(F.count("*").alias("n"))
+    return polling.polls(seconds, _BEGIN, _NOW, _MOST, _SPAN)
