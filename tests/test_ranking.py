@@ -70,3 +70,24 @@ def test_features_and_fit(spark):
     assert all(score[i] == pytest.approx(1 / (1 + np.exp(-(np.array(v) @ wl + bl)))) for (_, i), v in want.items())
     assert reranker.fit(marked.limit(0), 2, "y") == ([0.0, 0.0], 0.0)
     assert [r.key for r in reranker.vocabulary(frame.limit(0)).orderBy("place").collect()] == reranker.SCALARS
+
+
+def test_questions(spark):
+    from tracewell.operators import questions
+
+    asked = [("a", 1, "what contradicts the queue?"), ("b", 1, "argues against redis"), ("c", 1, "evidence against all of it"), ("d", 2, "refute it"), ("e", 1, "What don't we have? it doesn't have gaps"), ("f", 2, "what else"), ("g", 1, "are you sure that nothing contradicts the deploy"), ("h", 2, "certainty"), ("i", 1, "hello gapsy"), ("j", 1, None), ("k", 1, "rule  out API latency of the queue"), ("l", 9, "rule out retry"), ("m", 1, "disprove the worker")]
+    told = [(1, "h1", "queue-backlog", "weakened", ["e2", "e1", "gone"]), (1, "h2", "queue-backlog", "supported", ["e1"]), (1, "h3", "retry-storm", "supported", ["e3"]), (1, "h4", "worker-slowdown", "unconfirmed", []), (2, "h1", "retry-storm", "supported", None)]
+    known = spark.createDataFrame([(1, "e1"), (1, "e2"), (1, "e3"), (2, "gone")], "report int, id string")
+    gaps = spark.createDataFrame([(1, "logs", 0.05), (1, "state", 0.1), (1, "state", 0.1)], "report int, dimension string, impact double")
+    totals = spark.createDataFrame([(1, 0.6, 0.85), (2, 0.9, 1.0)], "report int, confidence double, ceiling double")
+    found = questions.answers(spark.createDataFrame(asked, "question string, report int, text string"), spark.createDataFrame(told, "report int, id string, category string, verdict string, contradicts array<string>"), known, gaps, totals)
+    got = {r.question: (r.kind, r.topic, r.answer, r["items"], r.verdicts, r.confidence) for r in found.collect()}
+    assert got == {
+        "a": ("contradicts", "queue", "contradicted", ["e1", "e2"], ["supported", "weakened"], None),
+        "b": ("contradicts", "infra", "not-evaluated", ["queue-backlog", "retry-storm", "worker-slowdown"], [], None),
+        "c": ("contradicts", None, "contradicted", ["e1", "e2", "e3"], [], None), "d": ("contradicts", None, "uncontradicted", [], [], None),
+        "e": ("missing-evidence", None, "gaps", ["logs", "state"], [], None), "f": ("missing-evidence", None, "no-gaps", [], [], None),
+        "g": ("confidence", "deployment", "capped", ["state", "logs"], ["queue-backlog", "worker-slowdown"], 0.6), "h": ("confidence", None, "uncapped", [], [], 0.9),
+        "k": ("contradicts", "queue", "contradicted", ["e1", "e2"], ["supported", "weakened"], None), "l": ("contradicts", "retry", "not-evaluated", [], [], None), "m": ("contradicts", "worker", "uncontradicted", [], ["unconfirmed"], None),
+    }
+    assert found.filter("n <> size(items)").count() == 0

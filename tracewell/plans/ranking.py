@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reranker
+from ..operators import questions, reranker
 from ..operators.textindex import TextIndex
 from ..session import new_folder, table
 from . import searching
@@ -58,3 +58,39 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     size = reranker.vocabulary(rows).count()
     weights, bias = reranker.fit(marked, size, "quality", epochs=60)
     return reranker.scored(marked, weights, bias).select("inv", "id", "quality", "score")
+
+
+#: Questions asked in turns of conversations, each followed by what the turn says; customers are explanations and gaps of twenty reports.
+_ASKED = ["What contradicts the backlog?", "Does anything argue against a redis outage?", "rule out retry", "what is missing", "Which gaps are there? ", "why not higher", "Are you sure about the deploy", "evidence against it", "tell me more", "WHAT ELSE", "refute the external latency claim", "disprove worker stalls or the worker stall"]
+_KIND = ["'queue-backlog'", "'worker-slowdown'", "'deployment-regression'", "'external-api-latency'", "'retry-storm'", "'benign-variance'"]
+_pick = lambda values, by: "CASE " + by + " " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+_SAID = "concat(" + _pick([f"'{q}'" for q in _ASKED], f"(conv_id + turn) % {len(_ASKED)}") + ", ' ', coalesce(text, ''))"
+_IMPACT = "CAST(CASE c_custkey % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.08 WHEN 2 THEN 0.07 ELSE 0.05 END AS DOUBLE)"
+_DIM = _pick(["'logs'", "'state'", "'traces'", "'owner'"], "c_custkey % 4")
+_VERDICT = _pick(["'supported'", "'weakened'", "'unconfirmed'", "'eliminated'"], "c_nationkey % 4")
+_word = lambda words: "\\b(?:" + words.replace(" ", "|") + ")\\b"
+_QA = f"""q AS (SELECT conv_id || ':' || turn AS question, conv_id % 25 AS report, {_SAID} AS text FROM conversations),
+h AS (SELECT c_custkey % 20 AS report, {_pick(_KIND, 'c_custkey // 20 % 6')} AS category, {_VERDICT} AS verdict, ['e1', 'e2', 'gone'][1:CAST(c_custkey // 7 % 4 AS INT)] AS contradicts FROM customer WHERE c_custkey // 20 % 6 <> 3 OR c_custkey % 20 < 9),
+g AS (SELECT DISTINCT c_custkey % 20 AS report, {_DIM} AS dimension, {_IMPACT} AS impact FROM customer WHERE c_custkey % 20 < 11 AND c_custkey % 3 = 0),
+k AS (SELECT *, CASE WHEN regexp_matches(text, '{questions.KINDS['confidence']}') THEN 'confidence' WHEN regexp_matches(text, '{questions.KINDS['contradicts']}') THEN 'contradicts' WHEN regexp_matches(text, '{questions.KINDS['missing-evidence'].replace("'", "''")}') THEN 'missing-evidence' END AS kind,
+ CASE {' '.join(f"WHEN lower(trim(text)) = '{t}' OR regexp_matches(text, '(?i){_word(w)}') THEN '{t}'" for t, (w, _) in questions.TOPICS.items())} END AS topic FROM q),
+m AS (SELECT *, CASE topic {' '.join(f"WHEN '{t}' THEN '{c}'" for t, (_, c) in questions.TOPICS.items())} END AS category FROM k WHERE kind IS NOT NULL),
+a AS (SELECT DISTINCT report, category, unnest(contradicts) AS id FROM h), s AS (SELECT * FROM a WHERE id <> 'gone'),
+x AS (SELECT *, topic IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h WHERE h.report = m.report AND h.category = m.category) AS unmet FROM m),
+y AS (SELECT *, coalesce(CASE WHEN kind = 'contradicts' THEN CASE WHEN unmet THEN (SELECT list(DISTINCT category ORDER BY category) FROM h WHERE h.report = x.report) WHEN topic IS NOT NULL THEN (SELECT list(DISTINCT id ORDER BY id) FROM s WHERE s.report = x.report AND s.category = x.category) ELSE (SELECT list(DISTINCT id ORDER BY id) FROM s WHERE s.report = x.report) END
+  WHEN kind = 'confidence' THEN (SELECT list(dimension ORDER BY impact DESC, dimension) FROM g WHERE g.report = x.report) ELSE (SELECT list(dimension ORDER BY dimension) FROM g WHERE g.report = x.report) END, []) AS items,
+ coalesce(CASE WHEN kind = 'contradicts' AND topic IS NOT NULL THEN (SELECT list(DISTINCT verdict ORDER BY verdict) FROM h WHERE h.report = x.report AND h.category = x.category) WHEN kind = 'confidence' THEN (SELECT list(DISTINCT category ORDER BY category) FROM h WHERE h.report = x.report AND verdict IN ('weakened', 'unconfirmed')) END, []) AS verdicts FROM x)"""
+
+
+@query("x_qa", f"""WITH {_QA} SELECT question, report, kind, topic, CASE kind WHEN 'contradicts' THEN CASE WHEN unmet THEN 'not-evaluated' WHEN len(items) > 0 THEN 'contradicted' ELSE 'uncontradicted' END WHEN 'confidence' THEN CASE WHEN len(items) > 0 THEN 'capped' ELSE 'uncapped' END ELSE CASE WHEN len(items) > 0 THEN 'gaps' ELSE 'no-gaps' END END AS answer,
+ CAST(len(items) AS INTEGER) AS n, items, verdicts, CASE WHEN kind = 'confidence' AND report < 20 THEN report / 20.0 END AS confidence, CASE WHEN kind = 'confidence' AND report < 20 THEN 1 - coalesce((SELECT sum(impact) FROM g WHERE g.report = y.report), 0) END AS ceiling FROM y""")
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn of the conversations as a question about a saved report."""
+    people = table(spark, d, "customer")
+    asked = table(spark, d, "conversations").selectExpr("concat(conv_id, ':', turn) AS question", "conv_id % 25 AS report", f"{_SAID} AS text")
+    told = people.filter("floor(c_custkey / 20) % 6 <> 3 OR c_custkey % 20 < 9").selectExpr("c_custkey % 20 AS report", "c_custkey AS id", f"{_pick(_KIND, 'CAST(floor(c_custkey / 20) % 6 AS INT)')} AS category", f"{_VERDICT} AS verdict", "slice(array('e1', 'e2', 'gone'), 1, CAST(floor(c_custkey / 7) % 4 AS INT)) AS contradicts")
+    known = spark.range(20).select(F.col("id").alias("report"), F.explode(F.array(F.lit("e1"), F.lit("e2"))).alias("id"))
+    gaps = people.filter("c_custkey % 20 < 11 AND c_custkey % 3 = 0").selectExpr("c_custkey % 20 AS report", f"{_DIM} AS dimension", f"{_IMPACT} AS impact").distinct()
+    sums = gaps.groupBy("report").agg(F.sum("impact").alias("lost"))
+    totals = people.selectExpr("c_custkey % 20 AS report").distinct().join(sums, "report", "left").selectExpr("report", "report / 20.0D AS confidence", "1 - coalesce(lost, 0) AS ceiling")
+    return questions.answers(asked, told, known, gaps, totals)
