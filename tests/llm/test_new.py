@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tracewell.llm import codes, infill, winnow
+from tracewell.llm import bpe, codes, infill, winnow
 
 SCHEMA = "doc_id long, text string, lang string, id string, n long, form string, row long, items string, key string, part int"
 BLANKS = "\x20\x09-\x0d"
@@ -238,3 +239,27 @@ def test_pieces_overlap():
             for i, w in enumerate(part):
                 assert got.setdefault(place + i, w) == w
         assert [got[i] for i in range(len(got))] == words
+
+
+@pytest.mark.parametrize("long", [bpe.LONG, 3])
+def test_long_words(monkeypatch, long):
+    """Words encoded alone have the library's ids, and the time grows with their length only."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LONG", long)
+    path = bpe.default_tokenizer()
+    official = Tokenizer.from_file(path)
+    official.no_truncation(), official.no_padding()
+    codec, r = bpe.Codec(bpe.load_model(path)), random.Random(8)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [draw("acgt", 3000), draw("abcdefghijklmnopqrstuvwxyzABCXYZ", 3000), draw("的一是不了人我在有", 2000), "a" * 2000, draw("=-_", 1500), draw("0123456789", 1500), "é" * 700, "short words here " + draw("xyz", 900) + " and " + draw("etaoin", 600), "a b c"]
+    for t in texts:
+        assert np.frombuffer(codec.encode(t)[0], np.int32).tolist() == official.encode(t, add_special_tokens=False).ids
+
+
+def test_a_very_long_word_takes_seconds():
+    codec, r = bpe.Codec(bpe.load_model(bpe.default_tokenizer())), random.Random(8)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    began = time.process_time()
+    ids = np.frombuffer(codec.encode(text)[0], np.int32).tolist()
+    assert time.process_time() - began < 30 and codec.decode(ids) == text

@@ -27,6 +27,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BASE = 256
 #: Parts of texts whose ids a worker keeps; entries of the table of last tokens; characters of the texts that are encoded together.
 CACHED_PIECES, CELLS, TOGETHER = 600_000, 2_000_000, 8_000_000
+#: Bytes from which a word is encoded alone: few are that long, and arrays over them would hold a row or two.
+LONG = 512
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -145,6 +147,16 @@ class _Table:
             left = left[(seen != keys[left]) & (seen >= 0)]
         return np.where(self.keys[at] == keys, out, -1)
 
+    def one(self, key: int) -> int:
+        """get() of one key."""
+        keys, values = memoryview(self.keys), memoryview(self.values)
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while keys[at] != key:
+            if keys[at] < 0:
+                return -1
+            at = (at + 1) & self.mask
+        return values[at]
+
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places start[i] .. start[i] + size[i] - 1 of all i in sequence."""
@@ -248,6 +260,53 @@ class Codec:
                 row, s = row[~fits], self.near[self.link[s[~fits]]]
         return last
 
+    def _fit(self, a: int, b: int) -> bool:
+        """_fits() of one pair."""
+        left, right, bound = memoryview(self.left), memoryview(self.right), 1 << 30
+        while True:
+            if 0 <= self.pair.one(a << 20 | b) < bound:
+                return False
+            if a < BASE and b < BASE:
+                return True
+            if a > b:
+                a, bound = right[a], a
+            else:
+                b, bound = left[b], b + 1
+
+    def _encode_long(self, word: bytes) -> list[int]:
+        """The ids of one word, a byte at a time with plain numbers; steps and fitting pairs met before are remembered. A word of n
+        bytes takes time in proportion to n."""
+        link, length, token, near = (memoryview(x) for x in (self.link, self.length, self.word, self.near))
+        steps: dict[int, int] = {}
+        fitting: dict[int, bool] = {}
+        last, at, size = array("i", bytes(4 * (len(word) + 1))), 0, 0
+        for i, c in enumerate(word, 1):
+            while True:
+                key = at << 8 | c
+                to = steps.get(key)
+                if to is None:
+                    to = steps[key] = self.step.one(key)
+                if to >= 0:
+                    break
+                at = link[at]
+                size = length[at]
+            at, size = to, size + 1
+            s = at if token[at] >= 0 and length[at] <= size else near[link[at]]
+            while rest := i - length[s]:  # the longest token first; one of them fits
+                key = last[rest] << 20 | token[s]
+                fits = fitting.get(key)
+                if fits is None:
+                    fits = fitting[key] = self._fit(last[rest], token[s])
+                if fits:
+                    break
+                s = near[link[s]]
+            last[i] = token[s]
+        ids, end = [], len(word)
+        while end:
+            ids.append(last[end])
+            end -= len(self.tokens[last[end]])
+        return ids[::-1]
+
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words of the split pattern, end to end, and how many each has."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -256,6 +315,11 @@ class Codec:
         start = np.cumsum(sizes) - sizes
         ids, counts, a = [], np.zeros(sizes.size, np.int64), 0
         while a < order.size:  # so many words at once that their table stays small
+            if sizes[order[a]] > LONG:
+                ids.append(np.array(self._encode_long(words[order[a]]), np.int32))
+                counts[order[a]] = ids[-1].size
+                a += 1
+                continue
             part = order[a : a + max(1, CELLS // int(sizes[order[a]] + 1))]
             a += part.size
             n = sizes[part]
@@ -270,7 +334,7 @@ class Codec:
                 row, end = row[end > 0], end[end > 0]
             rows, tokens = (np.concatenate([x[k] for x in reversed(found)]) for k in (0, 1))
             by_word = np.argsort(rows, kind="stable")
-            ids.append(tokens[by_word])
+            ids.append(tokens[by_word].astype(np.int32))
             counts[part] = np.bincount(rows, minlength=part.size)
         store = _Lists()
         store.add(np.concatenate(ids), counts[order])
