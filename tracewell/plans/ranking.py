@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import questions, reranker
+from ..operators import questions, reranker, search
 from ..operators.textindex import TextIndex
 from ..session import new_folder, table
 from . import searching
@@ -94,3 +94,32 @@ def answered(spark: SparkSession, d: str) -> DataFrame:
     sums = gaps.groupBy("report").agg(F.sum("impact").alias("lost"))
     totals = people.selectExpr("c_custkey % 20 AS report").distinct().join(sums, "report", "left").selectExpr("report", "report / 20.0D AS confidence", "1 - coalesce(lost, 0) AS ceiling")
     return questions.answers(asked, told, known, gaps, totals)
+
+
+#: Parts and customers as symbols with labels, paths and bodies, orders as memories of one day.
+_NAMED = ["CASE p_partkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'interface' WHEN 2 THEN 'folder' ELSE 'method' END AS label", "CASE p_partkey % 7 WHEN 0 THEN '_' WHEN 1 THEN '#' ELSE '' END || p_name AS name"]
+
+
+@query("sort_name_contains", f"""SELECT id, name, CAST(0.5 AS DOUBLE) AS score FROM (SELECT p_partkey AS id, {', '.join(_NAMED)} FROM part) WHERE contains(lower(name), 'o') AND label <> 'folder'
+ ORDER BY left(name, 1) IN ('_', '#'), length(name), label NOT IN ('class', 'interface'), id LIMIT 60""")
+def sorted_names(spark: SparkSession, d: str) -> DataFrame:
+    return search.name_contains(table(spark, d, "part").selectExpr("p_partkey AS id", *_NAMED), "O", 60)
+
+
+_SYMBOLS = ["c_custkey AS id", "c_mktsegment AS name", "CASE c_custkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'process' WHEN 2 THEN 'function' ELSE 'method' END AS label", "CASE c_custkey % 5 WHEN 0 THEN 'tests/a.ts' WHEN 1 THEN 'src/a_test.go' WHEN 2 THEN 'src/contests/a.ts' ELSE 'src/a.ts' END AS path", "repeat('x', CAST(c_custkey % 17 AS INT)) AS body"]
+
+
+@query("sort_exact", f"""SELECT id, name, CAST(1.0 AS DOUBLE) AS score FROM (SELECT {', '.join(_SYMBOLS)} FROM customer) WHERE lower(name) = 'building' AND label <> 'process'
+ ORDER BY CASE WHEN path IN ('tests/a.ts', 'src/a_test.go') THEN 10 ELSE 0 END + CASE WHEN label = 'class' THEN 1 ELSE 0 END, length(body), id LIMIT 200""")
+def sorted_exact(spark: SparkSession, d: str) -> DataFrame:
+    return search.exact_name(table(spark, d, "customer").selectExpr(*_SYMBOLS), "Building", 200)
+
+
+_MEMORIES = ["o_orderkey AS id", "CAST(floor(o_totalprice / 100000) AS DOUBLE) / 8 AS confidence", "o_orderkey % 3 / 4.0 AS relevance", "CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate END AS verified_at", "CASE o_orderstatus WHEN 'P' THEN 'possibly-stale' WHEN 'F' THEN 'rejected' ELSE 'active' END AS status", "o_orderkey % 50 = 0 AS pinned"]
+
+
+@query("sort_recalled", f"""SELECT id, rank FROM (SELECT *, confidence * CASE WHEN status = 'possibly-stale' THEN 0.5 ELSE 1 END + CASE WHEN pinned THEN 1 ELSE 0 END AS rank FROM (SELECT {', '.join(_MEMORIES)} FROM orders)) WHERE status <> 'rejected'
+ ORDER BY rank DESC, relevance DESC, confidence DESC, verified_at DESC NULLS LAST, id LIMIT 100""")
+def sorted_recalled(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr(*_MEMORIES, "TIMESTAMP_NTZ '2001-08-05' AS at")
+    return search.recall_memory(rows, F.expr("TIMESTAMP_NTZ '2001-08-05'"), 100)
