@@ -263,3 +263,50 @@ def test_a_very_long_word_takes_seconds():
     began = time.process_time()
     ids = np.frombuffer(codec.encode(text)[0], np.int32).tolist()
     assert time.process_time() - began < 30 and codec.decode(ids) == text
+
+
+def brute_stays(rows, alike):
+    """Of each group of alike rows the one with the smallest id, null last, then the first one."""
+    left, out = list(range(len(rows))), []
+    while left:
+        group, grown = {left[0]}, True
+        while grown:
+            more = {j for j in left if j not in group and any(alike(rows[i][1], rows[j][1]) for i in group)}
+            grown = bool(more)
+            group |= more
+        out.append(min(rows[i][0] if rows[i][0] is not None else math.inf for i in group))
+        left = [j for j in left if j not in group]
+    return Counter(None if i == math.inf else i for i in out)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Null and repeated ids, equal and near texts, and columns named like the stages' own key."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    base = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(60)) for _ in range(6)]
+    near = [b.replace(b.split()[30], "changed", 1) for b in base[:3]]
+    texts = [*base, *near, base[0], base[1], base[4], None, "", base[5], "short", "short"]
+    ids = [9, 8, 7, 6, 5, 4, 30, 31, 2, 3, 1, None, 40, 41, 42, 4, 50]
+    rows = list(zip(ids, texts, strict=True))
+    table = spark.createDataFrame([(i, t, "en", f"s{k % 2}", 5, k, 7.5, "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _row long, __ROW double, key string").repartition(3)
+    exact = corpus_pipeline.exact(spark, table, "")
+    kept = exact.collect()
+    assert exact.columns == table.columns and all(x.text in (t for i, t in rows if i == x.doc_id) for x in kept)
+    assert {x["_row"] for x in kept} <= set(range(len(rows))) and {x["__ROW"] for x in kept} == {7.5}
+    assert Counter(x.doc_id for x in kept) == brute_stays(rows, lambda a, b: re.sub(f"[{BLANKS}]+", " ", a or "") == re.sub(f"[{BLANKS}]+", " ", b or ""))
+
+    def alike(a, b):
+        sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in (a, b))]
+        return len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+    close = corpus_pipeline.near(spark, table, "")
+    assert close.columns == table.columns and Counter(x.doc_id for x in close.collect()) == brute_stays(rows, alike)
+    mixed = corpus_pipeline.mix(spark, table, "")
+    assert mixed.columns == table.columns and {x.doc_id for x in mixed.collect()} <= set(ids)
+    coded = corpus_pipeline.tokens(spark, table, "").collect()
+    assert Counter(x.doc_id for x in coded) == Counter(ids) and all(x.n_tokens == len(x.ids) for x in coded)
+    judged = corpus_pipeline.quality(spark, table, "")
+    assert judged.columns == table.columns
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mix, corpus_pipeline.quality, corpus_pipeline.tokens):
+        assert stage(spark, table.limit(0), "").count() == 0, stage
