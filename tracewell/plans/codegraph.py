@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import communities, graph
 from ..session import table
 from .common import Registry
 
@@ -106,6 +106,25 @@ def community(spark: SparkSession, d: str) -> DataFrame:
     return graph.cohesion(e, graph.communities(e))
 
 
+@query("gr_modularity", f"""WITH {_E}, {_N}, a AS (SELECT source, target, sum(w) AS w FROM (SELECT source, target, 1.0 AS w FROM e WHERE rel = 'calls' UNION ALL SELECT target, source, 1.0 FROM e WHERE rel = 'calls') GROUP BY 1, 2),
+c AS (SELECT x.community AS own, sum(w) AS total, sum(CASE WHEN x.community = y.community THEN w ELSE 0 END) AS inner_ FROM a JOIN n x ON x.id = source JOIN n y ON y.id = target GROUP BY 1)
+SELECT sum(inner_) / sum(total) - sum(total * total) / (sum(total) * sum(total)) AS modularity FROM c""")
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    """How well the nodes' given communities part the graph."""
+    labels = nodes(spark, d).select("id", F.col("community").cast("string").alias("community"))
+    return communities.modularity(communities.arcs(edges(spark, d)), labels)
+
+
+@query("gr_partition")
+def partition(spark: SparkSession, d: str) -> DataFrame:
+    """The best partition of nations by the trade between them: a supplier's nation calls the nation of the customer."""
+    s = table(spark, d, "supplier").selectExpr("s_suppkey AS l_suppkey", "concat('n', s_nationkey) AS source")
+    c = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_orderkey AS l_orderkey", "concat('n', c_nationkey) AS target")
+    trade = table(spark, d, "lineitem").join(s, "l_suppkey").join(c, "l_orderkey").groupBy("source", "target").agg(F.sum("l_quantity").alias("q"))
+    mean = trade.agg(F.avg("q").alias("mean"))  # one row
+    return communities.best_communities(trade.crossJoin(F.broadcast(mean)).filter("q > mean").select("source", "target", F.lit("calls").alias("rel")))
+
+
 @query("gr_insights", f"""WITH {_E}, {_N}, x AS (SELECT source AS id FROM e UNION ALL SELECT target FROM e),
 hubs AS (SELECT id, count(*) AS degree FROM x GROUP BY 1 ORDER BY degree DESC, id LIMIT 10)
 SELECT 'hub' AS kind, id AS a, NULL AS b, degree AS n FROM hubs
