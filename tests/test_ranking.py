@@ -91,3 +91,26 @@ def test_questions(spark):
         "k": ("contradicts", "queue", "contradicted", ["e1", "e2"], ["supported", "weakened"], None), "l": ("contradicts", "retry", "not-evaluated", [], [], None), "m": ("contradicts", "worker", "uncontradicted", [], ["unconfirmed"], None),
     }
     assert found.filter("n <> size(items)").count() == 0
+
+
+def test_walkthroughs(spark):
+    from tracewell.operators import walkthrough
+
+    symbols = [("a", "place", "src/a.ts"), ("b", "order.save", "src/b.ts"), ("c", "getLogger", "src/c.ts"), ("d", "axios.post", "src/d.ts"), ("e", "pay", "src/pay.gateway.ts"), ("f", "Cart", "src/cart.ts"), ("g", "add", "src/cart.ts"), ("h", "total", "src/cart.ts"), ("i", "lone", "src/i.ts"), ("j", "order.save", "src/b.ts"), ("k", "keep", "src/telemetry/k.ts"), *((f"r{i}", f"r{i}", "src/repository.ts") for i in range(8))]
+    flows = [("one", 0, "a"), ("one", 1, "c"), ("one", 2, "b"), ("two", 0, "d"), ("two", 1, "a"), ("two", 2, "e"), ("two", 3, "k"), ("three", 0, "i"), ("also", 0, "b"), ("also", 1, "e"), ("also", 2, "d")]
+    calls = [("a", "j", 0), ("a", "b", 1), ("e", "d", 0), ("h", "g", 1), ("h", "b", 0), ("i", "c", 0), *(("g", f"r{i}", i) for i in range(8))]
+    members = [("f", "g", 1), ("f", "h", 0), ("f", "c", 2)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    seeds = frame([(x,) for x in ("a", "b", "e", "f", "g", "h", "i", "gone", "a")], "id string")
+    found = walkthrough.walkthroughs(seeds, frame(symbols, "id string, name string, file string"), frame(flows, "flow string, step int, id string"), frame(calls, "source string, target string, seq int"), frame(members, "id string, method string, seq int"))
+    got = {r.id: (r.kind, r.flow, r.entry, r.steps, r.stores, r.calls_out) for r in found.collect()}
+    assert got == {
+        "a": ("flow", "two", "axios.post", ["axios.post", "place", "pay"], ["order.save"], ["axios.post", "pay"]),
+        "b": ("flow", "also", "order.save", ["order.save", "pay", "axios.post"], ["order.save"], ["pay", "axios.post"]),
+        "e": ("flow", "two", "axios.post", ["axios.post", "place", "pay"], [], ["axios.post", "pay"]),
+        "f": ("class", None, "Cart", ["total", "add"], [], []),
+        "g": ("calls", None, "add", ["add", *(f"r{i}" for i in range(8))], [f"r{i}" for i in range(6)], []),
+        "h": ("calls", None, "total", ["total", "order.save", "add"], ["order.save"], []),
+        "i": ("alone", None, "lone", ["lone"], [], []),
+    }
+    assert found.count() == 7

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import questions, reranker, search
+from ..operators import questions, reranker, search, walkthrough
 from ..operators.textindex import TextIndex
 from ..session import new_folder, table
 from . import searching
-from .common import Registry
+from .common import Registry, literal
 
 query = Registry()
 
@@ -123,3 +123,34 @@ _MEMORIES = ["o_orderkey AS id", "CAST(floor(o_totalprice / 100000) AS DOUBLE) /
 def sorted_recalled(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").selectExpr(*_MEMORIES, "TIMESTAMP_NTZ '2001-08-05' AS at")
     return search.recall_memory(rows, F.expr("TIMESTAMP_NTZ '2001-08-05'"), 100)
+
+
+#: Documents as symbols: some store, some call outside, some log; seven in a row make a flow, eleven another; every sixth is a class.
+_WORDS = ["order.save", "charge", "axios.post", "getLogger", "api.call", "users.find", "emit", "build", "httpGet", "persist", "x", "queue.push"]
+_BEHAVES = ["doc_id AS id", f"{_pick([f"'{w}'" for w in _WORDS], f'doc_id % {len(_WORDS)}')} AS name", "CASE WHEN doc_id % 17 = 3 THEN 'lib/telemetry.ts' WHEN doc_id % 19 = 4 THEN 'src/order.repository.ts' ELSE 'src/m' || doc_id % 40 || '.ts' END AS file"]
+_WALK = f"""sy AS (SELECT {', '.join(_BEHAVES)} FROM documents),
+fl AS (SELECT 'f' || id // 7 AS flow, id % 7 AS step, id FROM sy WHERE id // 7 % 3 > 0 UNION ALL SELECT 'g' || id // 11, id % 11, id FROM sy WHERE id % 5 = 1),
+be AS (SELECT id, flow FROM fl JOIN (SELECT flow, count(*) AS n FROM fl GROUP BY 1) USING (flow) WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, flow) = 1),
+po AS (SELECT p.*, y.name, y.file, be.flow, regexp_matches(y.name, {literal(walkthrough.STORES)}) OR regexp_matches(y.file, {literal(walkthrough.STORES)}) AS keeps, regexp_matches(y.name, {literal(walkthrough.CALLS_OUT)}) OR regexp_matches(y.file, {literal(walkthrough.CALLS_OUT)}) AS asks FROM (
+ SELECT be.id, fl.id AS step_id, 0 AS part, step AS at_ FROM be JOIN fl USING (flow) UNION ALL SELECT id, id, 0, 0 FROM sy WHERE id NOT IN (SELECT id FROM be)
+ UNION ALL SELECT id, id // 2, 1, 0 FROM sy WHERE id // 2 <> id UNION ALL SELECT id, id // 3, 1, 1 FROM sy WHERE id // 3 <> id AND id // 3 <> id // 2 UNION ALL SELECT id, id + k, 2, k FROM sy, (VALUES (1), (2)) v(k) WHERE id % 6 = 0) p
+ JOIN sy y ON y.id = p.step_id LEFT JOIN be ON be.id = p.id WHERE NOT regexp_matches(y.name, {literal(walkthrough.NOISE_NAME)}) AND NOT regexp_matches(y.file, {literal(walkthrough.NOISE_FILE)})),
+on_ AS (SELECT * FROM po QUALIFY row_number() OVER (PARTITION BY id, name, file ORDER BY part, at_, step_id) = 1),
+ch AS (SELECT id, list(name ORDER BY part, at_, step_id) AS steps FROM po WHERE CASE WHEN flow IS NULL THEN part < 2 ELSE part = 0 END GROUP BY 1),
+me AS (SELECT id, list(name ORDER BY part, at_, step_id) AS methods FROM on_ WHERE part = 2 GROUP BY 1),
+ke AS (SELECT id, list(name ORDER BY part, at_, step_id)[1:6] AS stores FROM on_ WHERE keeps GROUP BY 1),
+ou AS (SELECT on_.id, list(name ORDER BY part, at_, step_id)[1:6] AS calls_out FROM on_ LEFT JOIN ke USING (id) WHERE asks AND NOT coalesce(list_contains(stores, name), false) GROUP BY 1)"""
+
+
+@query("x_behavior", f"""WITH {_WALK} SELECT sy.id, CASE WHEN len(steps) > 1 THEN CASE WHEN flow IS NOT NULL THEN 'flow' ELSE 'calls' END WHEN len(methods) > 0 THEN 'class' ELSE 'alone' END AS kind, flow, coalesce(steps[1], sy.name) AS entry,
+ CASE WHEN coalesce(len(steps), 0) <= 1 AND len(methods) > 0 THEN methods ELSE coalesce(steps, []) END AS steps, coalesce(stores, []) AS stores, coalesce(calls_out, []) AS calls_out
+ FROM sy LEFT JOIN be USING (id) LEFT JOIN ch USING (id) LEFT JOIN me USING (id) LEFT JOIN ke USING (id) LEFT JOIN ou USING (id)""")
+def behaviour(spark: SparkSession, d: str) -> DataFrame:
+    """How every symbol works."""
+    docs = table(spark, d, "documents")
+    f = docs.filter("floor(doc_id / 7) % 3 > 0").selectExpr("concat('f', floor(doc_id / 7)) AS flow", "doc_id % 7 AS step", "doc_id AS id")
+    g = docs.filter("doc_id % 5 = 1").selectExpr("concat('g', floor(doc_id / 11)) AS flow", "doc_id % 11 AS step", "doc_id AS id")
+    targets = "array(named_struct('target', floor(doc_id / 2), 'seq', 0), named_struct('target', floor(doc_id / 3), 'seq', 1))"
+    called = docs.selectExpr("doc_id AS source", f"inline({targets})").filter("target <> source").groupBy("source", "target").agg(F.min("seq").alias("seq"))
+    members = docs.filter("doc_id % 6 = 0").selectExpr("doc_id AS id", "inline(array(named_struct('method', doc_id + 1, 'seq', 1), named_struct('method', doc_id + 2, 'seq', 2)))")
+    return walkthrough.walkthroughs(docs.selectExpr("doc_id AS id"), docs.selectExpr(*_BEHAVES), f.union(g), called, members)
