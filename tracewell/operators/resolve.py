@@ -45,10 +45,13 @@ def heritage(declared: DataFrame, classes: DataFrame) -> DataFrame:
 
 def siblings(calls: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
     """(call, id, confidence): every symbol of a call's name (call, name, file) in its own file, where there are two to
-    `most` of them, at .4; one alone is no matter of doubt and more are too many."""
-    near = calls.join(symbols.select("id", "name", "file"), ["name", "file"])
-    n = near.groupBy("call").agg(F.count("*").alias("k")).filter(F.col("k").between(2, most)).select("call")
-    return near.join(n, "call").select("call", "id", F.lit(0.4).alias("confidence"))
+    `most` of them, at .4; one alone is no matter of doubt and more are too many, so those are counted and never paired."""
+    size = symbols.groupBy("name", "file").agg(F.count("*").alias("k"))
+    rows = calls.select("call", "name", "file").join(size, ["name", "file"])
+    doubtful = rows.groupBy("call").agg(F.sum("k").alias("all")).filter(F.col("all").between(2, most)).select("call")
+    few = symbols.select("id", "name", "file").join(size.filter(F.col("k") <= most).select("name", "file"), ["name", "file"], "left_semi")
+    asked = rows.filter(F.col("k") <= most).join(doubtful, "call", "left_semi")
+    return asked.join(few, ["name", "file"]).select("call", "id", F.lit(0.4).alias("confidence"))
 
 
 def arguments(passed: DataFrame, symbols: DataFrame) -> DataFrame:
