@@ -23,3 +23,9 @@ def test_siblings_of_a_name_of_many(spark):
     found = resolve.siblings(_uses(spark, "call"), _symbols(spark))
     assert most_rows(found) < 5 * MANY
     assert sorted(tuple(r) for r in found.collect()) == [(MANY, "r1", 0.4), (MANY, "r2", 0.4)]
+
+
+def test_arguments_of_a_name_of_many(spark):
+    found = resolve.arguments(_uses(spark, "call"), _symbols(spark))
+    assert most_rows(found) < 5 * MANY
+    assert {r.call: (r.id, r.confidence) for r in found.collect()} == {i: (FIRST[i % 3], 0.4 if i % 3 == 2 else 0.8) for i in range(MANY)} | {MANY: ("r1", 0.8)}

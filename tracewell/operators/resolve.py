@@ -28,10 +28,23 @@ def receivers(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return _first(hits, "call", F.col("file") != F.col("place"), F.col("id")).select("call", "id", F.lit(0.8).alias("confidence"))
 
 
+def _least(symbols: DataFrame, *by: str) -> DataFrame:
+    """The first id of each group of symbols. A name may have any number of them, so names are resolved against these firsts,
+    never against all symbols of the name."""
+    return symbols.filter(F.col("id").isNotNull()).groupBy(*by).agg(F.min("id").alias("id"))
+
+
+def _resolved(uses: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(use, id, away) of names in files (use, name, file): see named(); away where no symbol of the name is in the same file."""
+    own = _least(symbols, "name", "file").withColumnRenamed("id", "own")
+    any_ = _least(symbols, "name").withColumnRenamed("id", "any")
+    hits = uses.join(own, ["name", "file"], "left").join(any_, "name").select("use", F.col("own").isNull().alias("away"), F.coalesce("own", "any").alias("id"))
+    return _first(hits, "use", F.col("away"), F.col("id"))
+
+
 def named(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     """(use, id) of names in files (use, name, file): the first symbol (id, name, file) of that name in the same file, or else the first anywhere."""
-    hits = uses.join(symbols.select("id", "name", F.col("file").alias("place")), "name")
-    return _first(hits, "use", F.col("file") != F.col("place"), F.col("id")).select("use", "id")
+    return _resolved(uses, symbols).select("use", "id")
 
 
 def heritage(declared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -57,9 +70,8 @@ def siblings(calls: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
 def arguments(passed: DataFrame, symbols: DataFrame) -> DataFrame:
     """(call, id, confidence): functions handed over as arguments (call, name, file), at .8 of what their name resolves to:
     1 in the same file, .5 elsewhere."""
-    at = passed.withColumn("use", F.struct("call", "name", "file"))
-    found = named(at.select("use", "name", "file"), symbols).join(symbols.select("id", F.col("file").alias("place")), "id")
-    return found.select("use.call", "id", F.when(F.col("use.file") == F.col("place"), 0.8).otherwise(0.4).alias("confidence"))
+    found = _resolved(passed.select(F.struct("call", "name", "file").alias("use"), "name", "file"), symbols)
+    return found.select("use.call", "id", F.when(F.col("away"), 0.4).otherwise(0.8).alias("confidence"))
 
 
 def coupled_files(edges: DataFrame, files: DataFrame) -> DataFrame:
