@@ -29,3 +29,9 @@ def test_arguments_of_a_name_of_many(spark):
     found = resolve.arguments(_uses(spark, "call"), _symbols(spark))
     assert most_rows(found) < 5 * MANY
     assert {r.call: (r.id, r.confidence) for r in found.collect()} == {i: (FIRST[i % 3], 0.4 if i % 3 == 2 else 0.8) for i in range(MANY)} | {MANY: ("r1", 0.8)}
+
+
+def test_types_of_a_name_of_many(spark):
+    found = resolve.named(_uses(spark, "use"), _symbols(spark))
+    assert most_rows(found) < 5 * MANY
+    assert {r.use: r.id for r in found.collect()} == {i: FIRST[i % 3] for i in range(MANY)} | {MANY: "r1"}
