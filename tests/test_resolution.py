@@ -45,3 +45,10 @@ def test_calls_of_a_name_of_many(spark):
     assert most_rows(found) < 5 * MANY
     want = {i: ({0: "p006", 1: "p005", 2: "p006"}[i % 3], 1.0) for i in range(MANY)} | {MANY: ("r2", 0.5)}
     assert {r.call: (r.id, r.confidence) for r in found.collect()} == want
+
+
+def test_receivers_of_a_name_of_many(spark):
+    calls = _uses(spark, "call").selectExpr("call", "'C' AS receiver", "name", "IF(call = 7, 'x.go', file) AS file")
+    found = resolve.receivers(calls, _symbols(spark).selectExpr("id", "name", "'C' AS class_name", "file"))
+    assert most_rows(found) < 5 * MANY
+    assert {r.call: r.id for r in found.collect()} == {i: FIRST[i % 3] for i in range(MANY) if i != 7} | {MANY: "r1"}

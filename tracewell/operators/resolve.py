@@ -20,20 +20,23 @@ def _first(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
-def receivers(calls: DataFrame, methods: DataFrame) -> DataFrame:
-    """(call, id, confidence) of calls receiver.name (call, receiver, name, file) to methods (id, name, class_name, file): one
-    of the same file, or else the first of the same language family, at .8."""
-    m = methods.select("id", "name", F.col("class_name").alias("receiver"), F.col("file").alias("place"))
-    hits = calls.join(m, ["name", "receiver"]).filter((F.col("file") == F.col("place")) | (family(F.col("file")) == family(F.col("place"))))
-    return _first(hits, "call", F.col("file") != F.col("place"), F.col("id")).select("call", "id", F.lit(0.8).alias("confidence"))
-
-
 def _least(symbols: DataFrame, *by: str) -> DataFrame:
     """The first id of each group of symbols. A name may have any number of them, so names are resolved against these firsts,
     never against all symbols of the name."""
     return symbols.filter(F.col("id").isNotNull()).groupBy(*by).agg(F.min("id").alias("id"))
 
 
+def receivers(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """(call, id, confidence) of calls receiver.name (call, receiver, name, file) to methods (id, name, class_name, file): one
+    of the same file, or else the first of the same language family, at .8."""
+    m = methods.select("id", "name", F.col("class_name").alias("receiver"), "file").withColumn("family", family(F.col("file")))
+    own = _least(m, "name", "receiver", "file").withColumnRenamed("id", "own")
+    kin = _least(m, "name", "receiver", "family").withColumnRenamed("id", "kin")
+    hits = calls.withColumn("family", family(F.col("file"))).join(own, ["name", "receiver", "file"], "left").join(kin, ["name", "receiver", "family"], "left")
+    hits = hits.select("call", F.col("own").isNull().alias("away"), F.coalesce("own", "kin").alias("id")).filter("id IS NOT NULL")
+    return _first(hits, "call", F.col("away"), F.col("id")).select("call", "id", F.lit(0.8).alias("confidence"))
+
+
 def _resolved(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     """(use, id, away) of names in files (use, name, file): see named(); away where no symbol of the name is in the same file."""
     own = _least(symbols, "name", "file").withColumnRenamed("id", "own")
