@@ -38,6 +38,34 @@ def test_batch_polls(spark):
     assert set(got) == {"a", "b"}
 
 
+def test_batch_polls_get_over_what_cannot_be_halved(spark):
+    """Seconds of `most` rows and more, also before the beginning: every row is in a poll, and the last poll ends now."""
+    for rows in ([("a", T + 9 + 700 * i, 60) for i in range(20)], [("a", T - 5, 80), ("a", T, 80), ("a", T + 1, 1)], [("a", T + i, 3) for i in range(900)]):
+        got = sorted(tuple(x)[1:] for x in polling.polls(spark.createDataFrame(rows, "route string, t long, n long"), T, T + 15_000, most=50).collect())
+        assert got[-1][2] == T + 15_000 and [g[0] for g in got] == list(range(len(got)))
+        assert all(b[1] == a[2] - polling.OVERLAP for a, b in zip(got, got[1:], strict=False)) and got[0][1] == T - polling.OVERLAP
+        assert all(any(a <= t <= b for _, a, b, _ in got) for _, t, _ in rows)
+        assert all(n == sum(k for _, t, k in rows if a <= t <= b) for _, a, b, n in got) and len(got) < 2000
+
+
+def test_batch_polls_go_back_as_the_rule_does(spark):
+    """A window that halves behind its cursor and gets past the spot from there ends as the rule says, without an error."""
+    rows = [("a", T + t, n) for t, n in ((437, 44), (1110, 21), (1192, 9), (2159, 20), (2697, 33), (2877, 46))]
+    count = lambda a, b: sum(n for _, t, n in rows if a <= t <= b)
+    want, cursor = [], T
+    for _ in range(200):
+        if cursor >= T + 9000:
+            break
+        a, b = cursor - 120, min(T + 9000, cursor + 3600)
+        while count(a, b) >= 50:
+            b = (a + b) // 2
+        want.append((a, b, count(a, b)))
+        cursor = b
+    got = [tuple(x)[2:] for x in polling.polls(spark.createDataFrame(rows, "route string, t long, n long"), T, T + 9000, most=50).orderBy("poll").collect()]
+    assert cursor >= T + 9000 and any(b[1] <= a[1] for a, b in zip(want, want[1:], strict=False))
+    assert got == want
+
+
 def test_stream_of_polls(spark, tmp_path):
     """A burst shortens polls, and a query that starts again goes on at its cursor."""
     r = random.Random(9)

@@ -27,19 +27,47 @@ def window(count: Callable[[int, int], int], cursor: int, now: int, most: int =
     return start, end
 
 
+def _halved(count: Callable[[int, int], int], cursor: int, now: int, most: int, span: int, overlap: int) -> tuple[int, int] | None:
+    """window() where it may fall behind the cursor; None where no window down to one second holds less than `most` rows."""
+    start, end = cursor - overlap, min(now, cursor + span)
+    while count(start, end) >= most:
+        half = (start + end) // 2
+        if half == end:
+            return None
+        end = half
+    return start, end
+
+
+def _ahead(cursor: int, far: int, now: int, span: int, overlap: int) -> tuple[int, int]:
+    """The shortest of the halved windows after cursor that ends beyond `far`, which is before now."""
+    start, end = cursor - overlap, min(now, cursor + span)
+    if end <= far:
+        return start, min(now, far + span)
+    while (half := (start + end) // 2) > far:
+        end = half
+    return start, end
+
+
 def polls(seconds: DataFrame, begin: int, now: int, most: int = MOST, span: int = SPAN, overlap: int = OVERLAP) -> DataFrame:
     """(route, poll, start, end, n): the polls that bring each route from begin to now. seconds has route, t and n, rows by whole second.
 
     A poll begins where the one before it ended, so a route is walked in sequence; what a task holds of it are counts by second, not rows.
+    Halving may end a poll behind its cursor, as the specified rule does. Where that would go on for ever (a cursor comes back, or one second
+    holds `most` rows), the poll is the shortest halved window that ends beyond all before it: no row is left out, and its n, which
+    is `most` or more, tells that a poll of a service would be refused there.
     Null times are left out, repeated seconds add up, and a route without rows has none of its polls listed."""
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=["t"]).groupby("t", as_index=False)["n"].sum().assign(route=rows["route"].iloc[0])
         at, upto = rows["t"].to_numpy(np.int64), np.r_[0, np.cumsum(rows["n"].to_numpy(np.int64))]
         count = lambda a, b: int(upto[np.searchsorted(at, b, "right")] - upto[np.searchsorted(at, a)]) if b >= a else 0
-        out, cursor = [], begin
+        out, cursor, met, far = [], begin, set(), begin
         while cursor < now:
-            start, cursor = window(count, cursor, now, most, span, overlap)
+            again = cursor in met
+            met.add(cursor)
+            found = None if again else _halved(count, cursor, now, most, span, overlap)
+            start, cursor = found or _ahead(cursor, far, now, span, overlap)
+            far = max(far, cursor)
             out.append((rows["route"].iloc[0] if len(rows) else None, len(out), start, cursor, count(start, cursor)))
         return pd.DataFrame(out, columns=["route", "poll", "start", "end", "n"])
 
