@@ -26,14 +26,22 @@ TOPICS = {
 }
 
 
+#: Fixed value: the end of a word of ASCII letters, as the patterns' \b means it; that of Java takes other letters and marks for parts of words too.
+_EDGE = r"(?:(?<=[a-zA-Z0-9_])(?![a-zA-Z0-9_])|(?<![a-zA-Z0-9_])(?=[a-zA-Z0-9_]))"
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return text.rlike(pattern.replace(r"\b", _EDGE))
+
+
 def question_kind(text: Column) -> Column:
     """contradicts, missing-evidence or confidence; null for any other text."""
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(k)) for k, p in KINDS.items()])
+    return F.coalesce(*[F.when(_found(text, p), F.lit(k)) for k, p in KINDS.items()])
 
 
 def question_topic(text: Column) -> Column:
     """The topic that a question names, by its own name alone or by any of its words."""
-    named = lambda name, words: (F.trim(F.lower(text)) == name) | text.rlike(rf"(?i)\b(?:{words.replace(' ', '|')})\b")
+    named = lambda name, words: (F.trim(F.lower(text)) == name) | _found(text, rf"(?i)\b(?:{words.replace(' ', '|')})\b")
     return F.coalesce(*[F.when(named(t, words), F.lit(t)) for t, (words, _) in TOPICS.items()])
 
 
