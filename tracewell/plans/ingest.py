@@ -16,8 +16,10 @@ query = Registry()
 
 @query("src_prom_parse", "SELECT event_type AS kind, CAST(event_id AS DOUBLE) AS t, CASE event_id % 50 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN CAST('inf' AS DOUBLE) ELSE value END AS v FROM events")
 def prom_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as the answer to an instant query; an event without a type, id or value has a null there."""
     v = "CASE event_id % 50 WHEN 0 THEN 'NaN' WHEN 1 THEN '+Inf' ELSE CAST(value AS STRING) END"
-    one = "'{\"metric\":{\"kind\":\"' || event_type || '\"},\"value\":[' || event_id || ',\"' || " + v + " || '\"]}'"
+    metric = "to_json(map('kind', event_type), map('ignoreNullFields', 'false'))"
+    one = "'{\"metric\":' || " + metric + " || ',\"value\":[' || coalesce(CAST(event_id AS STRING), 'null') || ',' || coalesce('\"' || " + v + " || '\"', 'null') || ']}'"
     body = table(spark, d, "events").selectExpr("'{\"status\":\"success\",\"data\":{\"resultType\":\"vector\",\"result\":[' || " + one + " || ']}}' AS body")
     return parsers.metric_samples(body).select(F.col("labels")["kind"].alias("kind"), "t", "v")
 
