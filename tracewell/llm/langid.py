@@ -61,6 +61,32 @@ class Network:
             s = out[t] = new
         return out
 
+    def _read(self, x: np.ndarray, d: str, inside: np.ndarray) -> np.ndarray:
+        """The states of _states() for predictions, as (T, H, B): rows of all B texts are added up and squashed at once, in place."""
+        h, e = self.hidden, self.w[d + "e"].copy()
+        e[:, : 2 * h] *= 0.5  # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2
+        u, c = np.ascontiguousarray(self.w[d + "u"].T) * np.float32(0.5), np.ascontiguousarray(self.w[d + "c"].T)
+        steps, width = x.shape
+        out, s = np.empty((steps, h, width), np.float32), np.zeros((h, width), np.float32)
+        a, rows, g, n = (np.empty(size, np.float32) for size in ((width, 3 * h), (3 * h, width), (2 * h, width), (h, width)))
+        for t in range(steps):
+            np.take(e, x[t], axis=0, out=a, mode="clip")
+            rows[:] = a.T
+            np.matmul(u, s, out=g)
+            g += rows[: 2 * h]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            g[h:] *= s
+            np.matmul(c, g[h:], out=n)
+            n += rows[2 * h :]
+            np.tanh(n, out=n)
+            n -= s
+            n *= g[:h]
+            n += s
+            s = np.multiply(n, inside[t], out=out[t])
+        return out
+
     def positions(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
         """(T, B) bytes, and where they are text (None: everywhere) -> (T, B, L) probabilities of each position."""
         h, back = self.hidden, None if inside is None else inside[::-1]
@@ -148,9 +174,16 @@ class Network:
             part = slice(a, a + width)
             place = piece[part] * stretch - halo + np.arange(steps)[:, None]
             inside = ((place >= 0) & (place < size[owner[part]])).astype(np.float32)
-            p = self.positions(raw[begin[part] + np.arange(steps)[:, None]], inside)[halo : halo + stretch]
-            p *= (np.arange(stretch)[:, None] < used[None, part])[:, :, None]
-            np.add.at(out, owner[part], p.sum(0, dtype=np.float64))
+            x, own = raw[begin[part] + np.arange(steps)[:, None]], slice(halo, halo + stretch)
+            # A direction stops at the far end of the stretch: what lies beyond is the other one's.
+            f = self._read(x[: halo + stretch], "f", inside[: halo + stretch])[own]
+            b = self._read(x[halo:][::-1], "b", inside[halo:][::-1])[own][::-1]
+            h, p = self.hidden, self.w["p"][:, None]
+            p = np.matmul(self.w["o"][:h].T, f) + np.matmul(self.w["o"][h:].T, b) + p
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p *= (np.arange(stretch)[:, None] < used[None, part])[:, None, :] / p.sum(axis=1, keepdims=True)
+            np.add.at(out, owner[part], p.sum(0, dtype=np.float64).T)
         return out / np.maximum(size, 1)[:, None]
 
 
