@@ -47,6 +47,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of Jaccard similarity 0.8 or more (sets of 5-word shingles) join, the one with the smallest doc_id stays.
+    SimHash names the close candidates, bands of minima those beyond its radius, and the sets confirm.
     A pair of exactly 0.8 is a candidate with a probability of 1 - 5e-6, a closer one with more; texts without words are alike."""
     return _first(docs, lambda rows, key: similar_documents(rows, id_col=key), "component_id")
 

@@ -325,3 +325,18 @@ def test_language_states_are_read_for_many_texts_at_once():
     for t, row in zip(texts, net.pooled(texts, 10_000, 32), strict=True):
         whole = net.positions(np.frombuffer(t, np.uint8)[:, None]).mean((0, 1)) if t else np.zeros(3)
         assert np.allclose(row, whole, atol=1e-5)
+
+
+def test_near_stage_finds_close_copies_by_simhash(spark, monkeypatch):
+    """With the bands taken away, copies within 4 bits of a fingerprint are still found, and the exact check still drops what is not similar."""
+    from tracewell.llm import similar, simhash
+
+    r = random.Random(12)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(400)] for _ in range(12)]
+    texts = [" ".join(t) for t in base] + [" ".join([*t[:-1], "last"]) for t in base] + [None, ""]
+    bits = [bin(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).count("1") for a, b in zip(texts[:12], texts[12:24], strict=True)]
+    assert sum(b <= 4 for b in bits) >= 6
+    monkeypatch.setattr(similar, "band_links", lambda rows, words=5: rows.select(rows.id.alias("a"), rows.id.alias("b")).limit(0))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in similar.similar_documents(table).collect()}
+    assert got == {i: i for i in range(12)} | {12 + i: i if b <= 4 else 12 + i for i, b in enumerate(bits)} | {24: 24, 25: 24}

@@ -1,6 +1,7 @@
-"""Documents whose sets of word shingles are similar, by MinHash candidates and exact confirmation.
+"""Documents whose sets of word shingles are similar, by SimHash and MinHash candidates and exact confirmation.
 
-Bands of minima name the pairs that may be similar; then the sets themselves decide. A pair of similarity 0.8 shares no band with a
+SimHash fingerprints within 4 bits, all of them found by bit-sliced comparison, name the close pairs; bands of minima name those that are
+further apart than its radius reaches. Then the sets themselves decide. A pair of similarity 0.8 shares no band with a
 probability of (1 - 0.8 ** 6) ** 40 = 5e-6, one of 0.85 with 6e-9; no pair under the threshold links.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import connected_components, materialise
+from .simhash import near_duplicates
 
 #: Bands, and minima of each; text bytes of a block of documents that are compared with each other.
 BANDS, ROWS, BLOCK_BYTES = 40, 6, 16 << 20
@@ -122,6 +124,18 @@ def _links(words: int, least: float):
     return run
 
 
+def close_links(rows: DataFrame, words: int = 5) -> DataFrame:
+    """(a, b): rows (id, text) and the smallest id of those that links of SimHash fingerprints, 4 bits at most apart, join them with."""
+    return near_duplicates(rows, words, id_col="id").filter("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+
+
+def band_links(rows: DataFrame, words: int = 5) -> DataFrame:
+    """(a, b): rows (id, text) and the smallest id of those that share a band with them."""
+    keys = materialise(rows.mapInArrow(_keys(words), "id long, key long"))
+    low = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
+    return keys.join(low, "key").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per distinct id of docs that is not null: id_col, component_id, the smallest id that
     links join it with. Two documents link if the Jaccard similarity of their sets of shingles is at
@@ -139,9 +153,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
     """
     reach = 1 - least + 1e-9
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null")
-    keys = materialise(rows.mapInArrow(_keys(words), "id long, key long"))
-    low = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
-    maybe = materialise(connected_components(keys.join(low, "key").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    maybe = materialise(connected_components(close_links(rows, words).union(band_links(rows, words))))
     met = rows.join(maybe, "id").select("component", "id", "text")
     pivots = met.filter("id = component").groupBy((F.col("component") + F.lit(0)).alias("component")).agg(F.max(F.coalesce("text", F.lit(""))).alias("pivot"))
     far = materialise(met.join(pivots, "component").mapInArrow(_from_pivot(words), "component long, id long, size long, apart double"))
