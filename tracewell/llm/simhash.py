@@ -84,7 +84,7 @@ def _signed(mask: int) -> int:
 def _planes(fp: np.ndarray) -> np.ndarray:
     """(blocks, 64) bit planes of fingerprints whose number is a multiple of 64."""
     bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
 
 
 def near(planes: np.ndarray, block: np.ndarray, query: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
