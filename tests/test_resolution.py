@@ -37,6 +37,18 @@ def test_types_of_a_name_of_many(spark):
     assert {r.use: r.id for r in found.collect()} == {i: FIRST[i % 3] for i in range(MANY)} | {MANY: "r1"}
 
 
+def test_types_where_files_or_ids_are_null(spark):
+    """A symbol in another file comes before one in no file, which comes before none; a null id is last in its place, not lost."""
+    rows = [("p1", "part", None), ("p2", "part", "b.py"), ("p3", "part", "c.py"), ("q1", "lost", None), (None, "bare", "a.py"), ("r1", "bare", "b.py"), (None, "gone", None)]
+    symbols = spark.createDataFrame(rows, "id string, name string, file string")
+    uses = [(1, "part", "a.py"), (2, "part", "c.py"), (3, "part", None), (4, "lost", "a.py"), (5, "bare", "a.py"), (6, "bare", "c.py"), (7, "gone", "a.py"), (8, None, "a.py")]
+    uses += [(9, "part", None), (9, "bare", "c.py")]
+    found = resolve.named(spark.createDataFrame(uses, "use long, name string, file string"), symbols)
+    assert {r.use: r.id for r in found.collect()} == {1: "p2", 2: "p3", 3: "p1", 4: "q1", 5: None, 6: "r1", 7: None, 9: "r1"}
+    passed = spark.createDataFrame(uses[:8], "call long, name string, file string")
+    assert {r.call: (r.id, r.confidence) for r in resolve.arguments(passed, symbols).collect()} == {1: ("p2", 0.4), 2: ("p3", 0.8), 3: ("p1", 0.4), 4: ("q1", 0.4), 5: (None, 0.8), 6: ("r1", 0.4), 7: (None, 0.4)}
+
+
 def test_calls_of_a_name_of_many(spark):
     """Own file, imported file, and a guess for the rare name only."""
     calls = spark.createDataFrame([(i, f"a/f{i % 3}.py", "runs") for i in range(MANY)] + [(MANY, "b/z.py", "rare"), (MANY + 1, "b/z.py", "runs")], "call long, file string, name string")

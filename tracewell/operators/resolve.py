@@ -38,15 +38,20 @@ def receivers(calls: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def _resolved(uses: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(use, id, away) of names in files (use, name, file): see named(); away where no symbol of the name is in the same file."""
-    own = _least(symbols, "name", "file").withColumnRenamed("id", "own")
-    any_ = _least(symbols, "name").withColumnRenamed("id", "any")
-    hits = uses.join(own, ["name", "file"], "left").join(any_, "name").select("use", F.col("own").isNull().alias("away"), F.coalesce("own", "any").alias("id"))
-    return _first(hits, "use", F.col("away"), F.col("id"))
+    """(use, id, away) of names in files (use, name, file): see named(); away where no symbol of the name is in the same file.
+    Uses meet the first symbol of a name and file and the firsts of the name, never all its symbols."""
+    own = symbols.groupBy("name", "file").agg(F.count("*").alias("near"), F.min("id").alias("own"))
+    every = own.groupBy("name").agg(F.count("file").alias("filed"), F.min(F.when(F.col("file").isNotNull(), F.col("own"))).alias("other"), F.min("own").alias("any"))
+    unknown = F.col("file").isNull() | (F.col("filed") == 0)
+    step = F.when(F.col("near").isNotNull(), 0).when(unknown, 2).otherwise(1)
+    first = F.when(F.col("step") == 0, F.col("own")).when(F.col("step") == 1, F.col("other")).otherwise(F.col("any"))
+    hits = uses.join(own, ["name", "file"], "left").join(every, "name").withColumn("step", step).select("use", "step", first.alias("id"))
+    return _first(hits, "use", F.col("step"), F.asc_nulls_last("id")).select("use", "id", (F.col("step") > 0).alias("away"))
 
 
 def named(uses: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(use, id) of names in files (use, name, file): the first symbol (id, name, file) of that name in the same file, or else the first anywhere."""
+    """(use, id) of names in files (use, name, file): the first symbol (id, name, file) of that name in the same file, or
+    else in another, or else, where either file is null, the first anywhere. A null id comes after the others."""
     return _resolved(uses, symbols).select("use", "id")
 
 
@@ -54,7 +59,8 @@ def heritage(declared: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (source, target, rel) of declarations (class_name, kind, parent, file): both ends by named(); only
     extends and implements count, and ends that are unknown give no edge."""
     rows = declared.filter(F.col("kind").isin("extends", "implements")).withColumn("use", F.struct("class_name", "kind", "parent", "file"))
-    side = lambda column: named(rows.select("use", F.col(column).alias("name"), "file"), classes)
+    known = classes.filter("id IS NOT NULL")
+    side = lambda column: named(rows.select("use", F.col(column).alias("name"), "file"), known)
     both = side("class_name").withColumnRenamed("id", "source").join(side("parent").withColumnRenamed("id", "target"), "use")
     return both.select("source", "target", F.col("use.kind").alias("rel")).distinct()
 
