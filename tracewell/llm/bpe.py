@@ -26,7 +26,10 @@ from .common import table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BASE = 256
 #: Parts of texts whose ids a worker keeps; entries of the table of last tokens; characters of the texts that are encoded together.
-CACHED_PIECES, CELLS, TOGETHER = 600_000, 2_000_000, 8_000_000
+#: They bound a worker's memory; ids do not depend on them.
+CACHED_PIECES, CELLS, TOGETHER = 200_000, 2_000_000, 1_000_000
+#: Characters of parts and words that a worker keeps for each of CACHED_PIECES: parts are short where texts have spaces, but whole lines where not.
+CACHED_CHARS = 32
 #: Bytes from which a word is encoded alone: few are that long, and arrays over them would hold a row or two.
 LONG = 512
 
@@ -216,6 +219,7 @@ class Codec:
     def _forget(self) -> None:
         self.pieces, self.piece_ids = _Numbers(), _Lists()
         self.words, self.word_ids = _Numbers(), _Lists()
+        self.held = 0  # characters of parts and words
 
     def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the joined bytes of two tokens merge into these two: undo the later of the two
@@ -364,6 +368,7 @@ class Codec:
             found += map(number, words)
             sizes.append(len(words))
         words = self.words.take()
+        self.held += sum(map(len, pieces)) + sum(map(len, words))
         if words:
             self.word_ids.add(*self._encode_words([w.encode() for w in words]))
         which, sizes = np.array(found, np.int64), np.array(sizes, np.int64)
@@ -390,7 +395,7 @@ class Codec:
         self._learn()
         flat, size = self.piece_ids.get(np.frombuffer(which, np.int64))
         ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(np.array(counts, np.int64))]]
-        if len(self.pieces) > self.cached:
+        if max(len(self.pieces), len(self.words)) > self.cached or self.held > self.cached * CACHED_CHARS:
             self._forget()
         return flat, np.diff(ends)
 
